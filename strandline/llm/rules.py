@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import settle
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SPAN = 5
@@ -114,8 +116,10 @@ def posterior(v: Column, model: Column) -> Column:
 
 
 def judged(docs: DataFrame, text_col: str, rounds: int = 20) -> DataFrame:
-    """docs with m (measures), posterior, base_failed and kept. The model comes from vote patterns of all documents: at most 3 ** N_RULES rows."""
-    scored = measures(docs, text_col).withColumn("v", votes())
+    """docs without the text, with m (measures), posterior, base_failed and kept. Texts are measured once and the
+    measures written, as both the model and the verdicts need them. The model comes from vote patterns of all documents: at most 3 ** N_RULES rows."""
+    names = [c for c in docs.columns if c != text_col]
+    scored = settle(measures(docs, text_col).withColumn("v", votes()).select(*names, "m", "v"), "rules")
     patterns = scored.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
     # One row of at most 3 ** N_RULES patterns, so its size has a bound; sorted, as sums of doubles depend on the order.
     model = patterns.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("p")).select(learned(F.col("p"), rounds).alias("model"))
