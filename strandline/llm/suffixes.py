@@ -14,6 +14,8 @@ from strandline.llm.common import RollingHash, mixed, pieces, settle, to_batch
 
 #: Bytes that decide where suffixes are sampled.
 GRAM = 16
+#: Starts that are judged together before single ones are.
+BLOCK = 12
 
 
 def sampled(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +75,17 @@ class Sampler:
         context = mixed(self.two.of(other, lo, hi + self.length)) ^ mixed(((place - lo) * 4096 + (hi - place) + 4096).astype(np.uint64))
         return place, lo, hi, key.view(np.int64), context.view(np.int64)
 
+    def blocks(self, data: np.ndarray, place: int, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(lo, hi, key, context) of stretches of BLOCK starts, counted from place so that equal strings are in alike
+        stretches. key: hash of the bytes that any start of the whole stretch has; context: of all bytes of the starts in lo..hi."""
+        b = np.arange((place - hi) // BLOCK, (place - lo) // BLOCK + 1)
+        first, last = np.maximum(lo, place - b * BLOCK - BLOCK + 1), np.minimum(hi, place - b * BLOCK)
+        one, two = self.one.sums(data), self.two.sums(data)
+        core = place - b * BLOCK
+        key = mixed(self.one.of(one, core, core - BLOCK + 1 + self.length) + b.astype(np.uint64))
+        context = mixed(self.two.of(two, first, last + self.length)) ^ mixed(((core - first) * 4096 + (last - first) + 1).astype(np.uint64))
+        return first, last, key.view(np.int64), context.view(np.int64)
+
     def strings(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(h.of(h.sums(data), starts, starts + self.length).view(np.int64) for h in (self.one, self.two))
 
@@ -143,32 +156,65 @@ def repeated_starts(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
         family.append(rows.where(F.col("batch") == b))
     keys = settle(family.repeated().select(F.col("key").alias("_key")), "suffix-keys")
     rows = settle(rows.join(keys, rows["key"] == keys["_key"], "left_semi").drop("batch"), "suffix-meet")
-    # Suffixes of one key and context: all their strings repeat. Of several contexts, strings are compared one by one.
     kinds = rows.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "lo", "hi")).alias("x"))
-    kinds = settle(kinds, "suffix-kinds")
-    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("key").alias("_key"))
-    doubtful = kinds.join(many, kinds["key"] == many["_key"]).select("x.rid", "x.lo", "x.hi", "n")
+    doubtful = _doubtful(settle(kinds, "suffix-kinds"))
     full = kinds.where("n > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
     sure = rows.join(full, (rows["key"] == full["_key"]) & (rows["context"] == full["_context"]), "left_semi").select("rid", "lo", "hi")
+    sure = settle(sure.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "suffix-sure")
+
+    # The same again for short stretches of the starts in doubt, then for each start that is still in doubt.
+    texts = settle(_ask(docs, doubtful), "suffix-texts")
+
+    def split(row: dict, sampler: Sampler) -> tuple[np.ndarray, ...]:
+        data = np.frombuffer(row["text"].encode(), dtype=np.uint8)
+        parts = [sampler.blocks(data, x["place"], x["lo"], x["hi"]) for x in row["xs"]]
+        n = [np.full(len(p[0]), x["n"]) for p, x in zip(parts, row["xs"], strict=True)]
+        first, last, key, context = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return np.full(len(first), row["rid"]), first, last, key, context, np.concatenate(n)
+
+    stretches = settle(_compare(texts, split, length), "suffix-stretches")
+    kinds = stretches.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "lo", F.col("lo").alias("place"), "hi")).alias("x"))
+    kinds = settle(kinds, "stretch-kinds")
+    full = kinds.where("n > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
+    alike = stretches.join(full, (stretches["key"] == full["_key"]) & (stretches["context"] == full["_context"]), "left_semi").select("rid", "lo", "hi")
+
+    def single(row: dict, sampler: Sampler) -> tuple[np.ndarray, ...]:
+        data = np.frombuffer(row["text"].encode(), dtype=np.uint8)
+        starts = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in row["xs"]])
+        n = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["n"]) for x in row["xs"]])
+        return np.full(len(starts), row["rid"]), starts, starts, *sampler.strings(data, starts), n
+
+    strings = settle(_compare(_ask(texts.select("rid", "text"), _doubtful(kinds)), single, length), "suffix-strings")
+    again = strings.groupBy("key", "context").agg(F.sum("n").alias("all")).where("`all` > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
+    found = strings.join(again, (strings["key"] == again["_key"]) & (strings["context"] == again["_context"]), "left_semi").select("rid", "lo", "hi")
+    more = found.union(alike).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    return settle(sure.union(more).groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "suffix-starts")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _doubtful(kinds: DataFrame) -> DataFrame:
+    """(rid, xs): one row's place of each kind whose key has several kinds, gathered by text. A key of one kind leaves no doubt."""
+    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("key").alias("_key"))
+    own = kinds.join(many, kinds["key"] == many["_key"], "left_semi")
+    return own.groupBy(F.col("x.rid").alias("_rid")).agg(F.collect_list(F.struct("x.place", "x.lo", "x.hi", "n")).alias("xs"))
+
+
+def _ask(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rid, text, xs) of the texts in doubt, one row for equal rows."""
+    return docs.join(asked, docs["rid"] == asked["_rid"]).groupBy("rid").agg(F.first("text").alias("text"), F.first("xs").alias("xs"))
+
+
+def _compare(texts: DataFrame, of, length: int) -> DataFrame:
+    """Rows (rid, lo, hi, key, context, n) that of(row, sampler) makes of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length)
-        schema = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             for part in pieces(batch, "text"):
-                for row in part.to_pylist():
-                    data = np.frombuffer(row["text"].encode(), dtype=np.uint8)
-                    starts = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in row["xs"]])
-                    n = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["n"]) for x in row["xs"]])
-                    a, b = sampler.strings(data, starts)
-                    yield to_batch({"rid": np.full(len(starts), row["rid"]), "start": starts, "n": n, "a": a, "b": b}, schema)
-
-    asked = doubtful.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("xs")).withColumnRenamed("rid", "_rid")
-    texts = docs.dropDuplicates(["rid"]).join(asked, docs["rid"] == asked["_rid"]).select("rid", "text", "xs")
-    strings = settle(texts.mapInArrow(compare, "rid long, start int, n long, a long, b long"), "suffix-strings")
-    again = strings.groupBy("a", "b").agg(F.sum("n").alias("all")).where("`all` > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    found = strings.join(again, (strings["a"] == again["_a"]) & (strings["b"] == again["_b"]), "left_semi").select("rid", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return settle(sure.union(found).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "suffix-starts")
+                rows = [of(row, sampler) for row in part.to_pylist()]
+                if rows:
+                    yield to_batch(dict(zip(schema.names, map(np.concatenate, zip(*rows, strict=True)), strict=True)), schema)
+
+    return texts.mapInArrow(run, "rid long, lo int, hi int, key long, context long, n long")
 
 
 def cut(text: str | None, starts: list | None, length: int) -> tuple[int, list[tuple[int, int]], bytes]:
