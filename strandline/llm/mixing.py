@@ -60,7 +60,7 @@ def timetable(plan: DataFrame) -> DataFrame:
     return slots.select(F.get(F.col("s"), F.col("x.i"))["source"].alias("source"), F.col("x.j").alias("j"), F.col("x.slot").cast("long").alias("slot"), F.floor(F.col("x.j") * F.col("p") / share).alias("release"), F.ceil((F.col("x.j") + 1) * F.col("p") / share).alias("deadline"))
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = 16, least_period: int = 1000, per_bucket: int = 50_000, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = 16, least_period: int = 1000, per_bucket: int = 4_000, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
     """One row per document: id, source, block (number within its source), slot, release, deadline, position; and the
     whole row as the struct `row` if carry.
 
