@@ -96,3 +96,8 @@ def monthly(returns: DataFrame, bench: DataFrame) -> DataFrame:
         return df.where("ret is not null").groupBy(F.trunc("datetime", "month").alias("month")).agg((F.product(1 + F.col("ret")) - 1).alias(name))
 
     return by_month(returns, "ret").join(by_month(bench, "bench"), "month", "left")
+
+
+def ranked(positions: DataFrame) -> DataFrame:
+    """positions with `rank`, the place in the day by weight, ties by instrument."""
+    return positions.withColumn("rank", F.row_number().over(day().orderBy(F.desc("weight"), "instrument")))
