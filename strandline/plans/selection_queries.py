@@ -34,8 +34,8 @@ lk as (select factor, max(abs(c)) as likeness from (select a as factor, c from p
 BUNDLE = IC + """, nm as (select factor, datetime, case when count(*) >= 3 and var_pop(value) > 0 and var_pop(ret) > 0 then corr(value, ret) end as ic from fac where value is not null and ret is not null group by all),
 ch as (select *, abs(value - lag(value) over (partition by factor, instrument order by datetime)) as c from fac),
 dq as (select factor, datetime, count(*) as cells, count(value) as n, sum(c) as c, count(c) as cn, stddev_samp(value) as sd, count(*) filter (where abs(value) > 10) as far from ch group by all),
-qu as (select factor, sum(c) / sum(cn) as change, sum(n) / sum(cells) >= 0.8 and avg(case when sd > 1e-6 then 1.0 else 0.0 end) >= 0.7 and sum(far) / sum(n) <= 0.05 as valid from dq group by factor),
-bu as (select qu.factor, qu.change, qu.valid, n.ic, n.ir, n.days, r.ic as rank_ic from qu join (select factor, avg(ic) as ic, avg(ic) / stddev_samp(ic) as ir, count(ic) as days from nm group by 1) n on n.factor = qu.factor join (select factor, avg(ic) as ic from daily group by 1) r on r.factor = qu.factor)"""
+qu as (select factor, sum(c) / sum(cn) as change, sum(n) / sum(cells) as coverage, sum(n) / sum(cells) >= 0.8 and avg(case when sd > 1e-6 then 1.0 else 0.0 end) >= 0.7 and sum(far) / sum(n) <= 0.05 as valid from dq group by factor),
+bu as (select qu.factor, qu.change, qu.coverage, qu.valid, n.ic, n.ir, n.days, r.ic as rank_ic from qu join (select factor, avg(ic) as ic, avg(ic) / stddev_samp(ic) as ir, count(ic) as days from nm group by 1) n on n.factor = qu.factor join (select factor, avg(ic) as ic from daily group by 1) r on r.factor = qu.factor)"""
 BASE = f""", bk as (select factor, datetime, {ranked("factor, datetime", "value", "base")} from (select f.factor, f.datetime, f.value, w.volume as base from fac f join wide w on w.datetime = f.datetime and w.instrument = f.instrument where f.value is not null and w.volume is not null)),
 bd as (select factor, datetime, {RANK_CORR} as ic from bk group by all), bl as (select factor, count(ic) as days, avg(abs(ic)) as likeness from bd group by 1)"""
 
@@ -77,12 +77,12 @@ def baseline_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(baseline(spark, sf_dir), "likeness")
 
 
-@query("factor_scores", FACTORS + PAIRS + BUNDLE + BASE + """ select bu.factor, round(case when bu.valid then abs(bu.ic) + 0.5 * bu.ir + 0.5 * abs(bu.rank_ic) - 0.2 * bu.change * 252 * 0.003 - 0.8 * lk.likeness - 0.01 * 3 - 0.5 * greatest(0, bl.likeness - 0.05) end, 6) as score
+@query("factor_scores", FACTORS + PAIRS + BUNDLE + BASE + """ select bu.factor, round(case when bu.coverage >= 0.9 then abs(bu.ic) + 0.5 * bu.ir + 0.5 * abs(bu.rank_ic) - 0.2 * bu.change * 252 * 0.003 - 0.8 * lk.likeness - 0.01 * 3 - 0.5 * greatest(0, bl.likeness - 0.05) end, 6) as score
 from bu join lk on lk.factor = bu.factor join bl on bl.factor = bu.factor""")
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score as NULL where it is minus infinity."""
+    """Scores under a rule of coverage alone, as these factors all have outliers; NULL where the score is minus infinity."""
     rows = bundles(spark, sf_dir).join(selection.likeness(pairs(spark, sf_dir)), "factor").join(baseline(spark, sf_dir).select("factor", F.col("likeness").alias("base")), "factor")
-    out = selection.scored(rows, F.lit(3), F.col("likeness"), F.col("base"), 0.05, weights=selection.WEIGHTS | {"baseline": 0.5})
+    out = selection.scored(rows.withColumn("valid", F.col("coverage") >= 0.9), F.lit(3), F.col("likeness"), F.col("base"), 0.05, weights=selection.WEIGHTS | {"baseline": 0.5})
     return out.select("factor", F.when(F.col("score") > float("-inf"), F.round("score", 6)).alias("score"))
 
 
