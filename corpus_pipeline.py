@@ -29,8 +29,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: 40 shards of near-equal bytes."""
-    return shards.shard_rows(docs, keep=("lang", "source", "n_chars"))
+    """Where each document goes: 40 shards of near-equal bytes, whose slots follow the mix."""
+    # A table that is read again has no order, so the positions come from the schedule once more, the same for the same rows.
+    keep = ("lang", "source", "n_chars")
+    rows = mixing.schedule(docs, carry=shards.measures(docs, keep=keep)).select("position", "row.*")
+    return shards.place_rows(rows, keep=keep, along="position")
 
 
 STAGES = [("quality rules", keep_good), ("near-duplicates", one_of_each), ("decontamination", clean_of_benchmark), ("mixing", mix), ("sharding", shard)]

@@ -51,16 +51,17 @@ def rows_per_bucket(n_rows: int, per_bucket: int) -> int:
     return max(1, -(-n_rows // per_bucket))
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], buckets: int, name: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order of a hash of `order`, then `order`.
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], buckets: int, name: str, along: Column | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in the order of a hash of `order`, then `order`; or of `along`, a
+    number from 0 up that is spread evenly, instead of the hash.
 
     A group may hold most rows: each is cut in `buckets` ranges of the hash, rows are numbered inside a range,
     and counts of the ranges before are added, so no task sees a whole group. Rows equal in `order` are
     numbered in any order. The counts (groups x buckets rows) are joined, not collected.
     """
     # Not the hash that deals the rows out, else the window's tasks would be uneven.
-    spread = F.xxhash64(F.lit(11), *order)
-    step = (1 << 64) // buckets + 1
+    spread = F.xxhash64(F.lit(11), *order) if along is None else along
+    step = (1 << 64) // buckets + 1 if along is None else (df.agg(F.max(along)).first()[0] or 0) // buckets + 1
     df = df.withColumn("_spread", spread).withColumn("_bucket", F.floor(F.col("_spread") / F.lit(float(step))).cast("int"))
     counts = df.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

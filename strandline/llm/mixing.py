@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +60,9 @@ def timetable(plan: DataFrame) -> DataFrame:
     return slots.select(F.get(F.col("s"), F.col("x.i"))["source"].alias("source"), F.col("x.j").alias("j"), F.col("x.slot").cast("long").alias("slot"), F.floor(F.col("x.j") * F.col("p") / share).alias("release"), F.ceil((F.col("x.j") + 1) * F.col("p") / share).alias("deadline"))
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = 16, least_period: int = 1000, per_bucket: int = 4_000, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = 16, least_period: int = 1000, per_bucket: int = 4_000, id_col: str = "doc_id", source_col: str = "source", carry: bool | Sequence[Column] = False) -> DataFrame:
     """One row per document: id, source, block (number within its source), slot, release, deadline, position; and the
-    whole row as the struct `row` if carry.
+    whole row, or the columns given, as the struct `row` if carry.
 
     Rows of a source are put in a hashed order and cut in blocks of block_rows. Blocks take the slots of the
     timetable, period after period; position = slot * block_rows + place in the block, so rows sorted by
@@ -71,7 +71,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, power:
     one that is not named in weights, gets one slot a period. Null is a source like any other. Ids may be null or
     repeat; rows equal in all columns are in any order. Targets: weights by source, else rows ** power.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*([docs[c] for c in docs.columns] if isinstance(carry, bool) else carry))
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"), *([row.alias("row")] if carry else []))
     counts = settle(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     plan = settle(shares(counts, weights, power, least_period), "mix-plan")

@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,12 +103,21 @@ def shard_rows(docs: DataFrame, shards: int = 40, overhead: int = 16, per_bucket
     of names other than the result's. A shard can be larger than the mean only by its last group, or if one group
     alone is.
     """
+    return place_rows(docs.select(*measures(docs, overhead, id_col, text_col, keep)), shards, per_bucket, id_col, keep)
+
+
+def measures(docs: DataFrame, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> list[Column]:
+    """What sharding needs of a document: id, size, text_crc32, key (equal for equal texts) and the columns to keep."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.substring(F.sha2(text.cast("binary"), 256), 1, 32).alias("key"), *[docs[c] for c in keep])
+    return [docs[id_col].alias("id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.substring(F.sha2(text.cast("binary"), 256), 1, 32).alias("key"), *[docs[c] for c in keep]]
+
+
+def place_rows(rows: DataFrame, shards: int = 40, per_bucket: int = 50_000, id_col: str = "doc_id", keep: tuple[str, ...] = (), along: str | None = None) -> DataFrame:
+    """shard_rows for rows of `measures`. Slots follow the column `along`, of numbers from 0 up, or else a hash."""
     rows = settle(rows, "shard-rows")
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     place = assign_groups(settle(groups, "shard-groups"), shards).withColumnRenamed("key", "_key")
     placed = rows.join(place, rows["key"] == place["_key"]).drop("_key", "key")
     n = rows.count()
-    placed = number_rows(placed, ["shard"], [F.col("id"), F.col("text_crc32"), F.col("size")], rows_per_bucket(n, per_bucket), "slot")
+    placed = number_rows(placed, ["shard"], [F.col("id"), F.col("text_crc32"), F.col("size")], rows_per_bucket(n, per_bucket), "slot", None if along is None else F.col(along))
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), *keep)

@@ -348,3 +348,23 @@ def test_pipeline(spark, sf_dir, small):
     final = p.run(spark, sf_dir)
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in docs.collect())
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and Row
+
+
+def test_shards_follow_the_mix(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rows = [(i, f"text {i} of this", "en", "big" if i % 10 else "few", 10) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    place = {r.doc_id: r.position for r in mixing.schedule(docs).collect()}
+    shards_of = {}
+    for r in p.shard(spark, p.mix(spark, docs, sf_dir), sf_dir).collect():
+        shards_of.setdefault(r.shard, []).append((r.slot, place[r.doc_id], r.source))
+    # Square roots of 3600 and 400 rows: 3 to 1. The few end when 1600 documents are out, 40 of each shard. Shards are chosen by
+    # bytes, not by source, so one shard's begin varies by chance; all 40 together hold the weights.
+    first = Counter()
+    for rows in shards_of.values():
+        rows.sort()
+        assert [x[0] for x in rows] == list(range(len(rows))) and [x[1] for x in rows] == sorted(x[1] for x in rows)
+        for n in (20, 36):
+            first[n] += sum(x[2] == "few" for x in rows[:n])
+    assert len(shards_of) == 40 and all(abs(first[n] / (40 * n) - 0.25) < 0.03 for n in first)
