@@ -9,9 +9,14 @@ from strandline.llm.common import settle
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: What a line of prose may end with.
+STOPS = (".", "!", "?", ":", ";", '"', "'", ")", "…", "。", "！", "？")
 SPAN = 5
-#: Bounds of a rule's estimated accuracy, and what it and the share of good documents are before any vote.
-LEAST, MOST, START, PRIOR = 0.55, 0.98, 0.8, 0.9
+N_RULES = 8
+#: Shares of votes (bad, abstain, good) by good and by bad documents, and the share of good documents, before any vote is seen.
+OF_GOOD, OF_BAD, PRIOR = (0.02, 0.18, 0.8), (0.4, 0.3, 0.3), 0.9
+#: What these count for, as a share of the documents.
+BELIEF = 0.001
 
 
 def let(value: Column, body) -> Column:
@@ -44,88 +49,104 @@ def measures(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with the base measures and those that only rules use, in the struct `m`."""
     text = F.coalesce(docs[text_col], F.lit(""))
     words = F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: without(x, BLANKS) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
 
     def measured(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(without(text, BLANKS)).cast("long").alias("word_chars"), (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), F.size(lines).cast("long").alias("n_lines"), repeated_words(w).alias("n_repeat_words"),
+            let(lines, of_lines).alias("of_lines"), repeated_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), (F.length(text) - F.length(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
         )
 
-    return docs.withColumn("m", let(words, measured))
+    def of_lines(x: Column) -> Column:
+        ended = F.filter(x, lambda y: F.substring(F.rtrim(y, F.lit(BLANKS)), -1, 1).isin(*STOPS))
+        return F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines"), F.size(ended).cast("long").alias("n_ended"))
+
+    out = docs.withColumn("m", let(words, measured))
+    return out.withColumn("m", F.struct(*[F.col(f"m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_distinct", "n_upper")], "m.of_lines.*"))
 
 
 def votes() -> Column:
-    """Each rule's vote as an array of bytes: 1 good, -1 bad, 0 abstains. All are shares, so long texts are judged like short ones."""
+    """All votes of a document as one number: digit r to the base 3 is rule r's vote, 0 bad, 1 abstains, 2 good. Rules are on shares, so long texts are judged like short ones."""
     n, m = F.col("m.n_words"), F.col("m")
 
     def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0).cast("byte")
+        return F.when(bad, 0).when(good, 2).otherwise(1)
 
     mean = m["word_chars"] / F.greatest(n, F.lit(1))
-    return F.array(
-        vote(n >= 30, n < 15),
-        vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
+    rules = [
+        vote(n >= 50, n > 100_000),
+        vote((mean >= 3) & (mean <= 7), (mean < 2) | (mean > 10)),
         vote(m["n_symbols"] * 50 <= n, m["n_symbols"] * 10 > n),
         vote(m["n_upper"] * 6 <= m["word_chars"], m["n_upper"] * 2 > m["word_chars"]),
         vote((m["n_dup_lines"] * 10 <= m["n_lines"]) & (m["n_lines"] >= 3), m["n_dup_lines"] * 10 > m["n_lines"] * 3),
         vote(m["n_repeat_words"] * 20 <= n, m["n_repeat_words"] * 7 > n),
         vote((m["n_distinct"] * 2 >= n) & (n >= 20), m["n_distinct"] * 8 < n),
-    )
+        vote(m["n_ended"] * 10 >= m["n_lines"] * 9, m["n_ended"] * 2 < m["n_lines"]),
+    ]
+    code = rules[0]
+    for r, v in enumerate(rules[1:], start=1):
+        code = code + v * 3**r
+    return code.cast("int")
 
 
-N_RULES = 7
+def evidence(v: Column, model: Column) -> Column:
+    """Log-odds that a document with the votes v (array) is good."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(N_RULES - 1)), model["odds"], lambda a, r: a + F.get(model["weight"], 3 * r + F.get(v, r)))
 
 
-def summed(patterns: Column, of) -> Column:
-    """Sum over patterns of their documents times of(pattern)."""
-    return F.aggregate(patterns, F.lit(0.0), lambda a, x: a + x["n"] * of(x))
+def weight(c: Column, good: Column, bad: Column) -> Column:
+    """What the vote c % 3 tells: log of its shares' ratio. A vote is never taken for its opposite; what an abstention tells is left to the data."""
+    ratio = F.ln(good) - F.ln(bad)
+    return F.when(c % 3 == 0, F.least(ratio, F.lit(0.0))).when(c % 3 == 2, F.greatest(ratio, F.lit(0.0))).otherwise(ratio)
 
 
 def learned(patterns: Column, rounds: int) -> Column:
-    """Accuracies and share of good documents by expectation-maximisation over vote patterns (array of struct<v, n>).
+    """Weights of all votes and the prior log-odds by expectation-maximisation over vote patterns (array of struct<v, n>).
 
-    A rule that votes is right with its accuracy, whatever the document; when it abstains says nothing. Each
-    estimate counts START and PRIOR like a hundredth of the documents, so rules that seldom vote stay near them.
+    Each rule has shares of its three votes among good and among bad documents. A rule that says good to nearly all thus
+    tells little, however many such rules agree, and one that seldom objects tells much when it does.
     """
-    start = F.struct(F.array(*[F.lit(START)] * N_RULES).alias("acc"), F.lit(PRIOR).alias("prior"))
+    each = F.sequence(F.lit(0), F.lit(3 * N_RULES - 1))
+
+    def fixed(values: tuple, c: Column) -> Column:
+        return F.get(F.array(*map(F.lit, values)), c % 3)
+
+    start = F.struct(F.transform(each, lambda c: weight(c, fixed(OF_GOOD, c), fixed(OF_BAD, c))).alias("weight"), F.ln(F.lit(PRIOR / (1 - PRIOR))).alias("odds"))
+
+    def total(patterns: Column, of) -> Column:
+        return F.aggregate(patterns, F.lit(0.0), lambda a, x: a + x["n"] * of(x))
 
     def step(state: Column, _: Column) -> Column:
         def better(p: Column) -> Column:
-            total = summed(p, lambda x: F.lit(1.0))
-            agreed = [summed(p, lambda x: F.when(x["v"][r] == 1, x["g"]).when(x["v"][r] == -1, 1 - x["g"]).otherwise(0.0)) for r in range(N_RULES)]
-            voted = [summed(p, lambda x: F.abs(x["v"][r])) for r in range(N_RULES)]
-            good = summed(p, lambda x: x["g"])
-            return let(total * 0.01 + 1, lambda b: F.struct(
-                F.array(*[F.least(F.lit(MOST), F.greatest(F.lit(LEAST), (agreed[r] + START * b) / (voted[r] + b))) for r in range(N_RULES)]).alias("acc"),
-                F.least(F.lit(0.98), F.greatest(F.lit(0.5), (good + PRIOR * b) / (total + b))).alias("prior"),
-            ))
+            return let(F.struct(total(p, lambda x: x["g"]).alias("good"), total(p, lambda x: 1 - x["g"]).alias("bad")), lambda s: let(BELIEF * (s["good"] + s["bad"]) + 1, lambda k: F.struct(
+                F.transform(each, lambda c: weight(
+                    c,
+                    (total(F.filter(p, lambda x: F.get(x["v"], F.floor(c / 3).cast("int")) == c % 3), lambda x: x["g"]) + k * fixed(OF_GOOD, c)) / (s["good"] + k),
+                    (total(F.filter(p, lambda x: F.get(x["v"], F.floor(c / 3).cast("int")) == c % 3), lambda x: 1 - x["g"]) + k * fixed(OF_BAD, c)) / (s["bad"] + k),
+                )).alias("weight"),
+                let(F.least(F.lit(0.99), F.greatest(F.lit(0.5), (s["good"] + PRIOR * k) / (s["good"] + s["bad"] + k))), lambda x: F.ln(x / (1 - x))).alias("odds"),
+            )))
 
-        return let(F.transform(patterns, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x["v"], state).alias("g"))), better)
+        return let(F.transform(patterns, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), (1 / (1 + F.exp(-evidence(x["v"], state)))).alias("g"))), better)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
-def posterior(v: Column, model: Column) -> Column:
-    """Probability that a document with these votes is good."""
-    odds = F.ln(model["prior"] / (1 - model["prior"]))
-    for r in range(N_RULES):
-        odds = odds + F.get(v, F.lit(r)) * F.ln(model["acc"][r] / (1 - model["acc"][r]))
-    return 1 / (1 + F.exp(-odds))
-
-
 def judged(docs: DataFrame, text_col: str, rounds: int = 20) -> DataFrame:
-    """docs without the text, with m (measures), posterior, base_failed and kept. Texts are measured once and the
-    measures written, as both the model and the verdicts need them. The model comes from vote patterns of all documents: at most 3 ** N_RULES rows."""
+    """docs without the text, with m (measures), base_failed, posterior and kept. Texts are measured once and the measures
+    written, as both the model and the verdicts need them. The model comes from all documents that the base does not
+    fail, as counts of vote patterns: 3 ** N_RULES rows at most, which is also the bound of what is broadcast."""
     names = [c for c in docs.columns if c != text_col]
-    scored = settle(measures(docs, text_col).withColumn("v", votes()).select(*names, "m", "v"), "rules")
-    patterns = scored.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # One row of at most 3 ** N_RULES patterns, so its size has a bound; sorted, as sums of doubles depend on the order.
-    model = patterns.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("p")).select(learned(F.col("p"), rounds).alias("model"))
     failed = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
-    out = scored.join(F.broadcast(model), how="cross").withColumn("posterior", F.round(posterior(F.col("v"), F.col("model")), 6))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5)).drop("v", "model")
+    scored = settle(measures(docs, text_col).withColumn("code", votes()).withColumn("base_failed", failed).select(*names, "m", "code", "base_failed"), "rules")
+    digits = F.array(*[(F.floor(F.col("code") / 3**r) % 3).cast("int") for r in range(N_RULES)])
+    patterns = scored.groupBy("code").agg(F.sum(F.when(F.col("base_failed"), 0.0).otherwise(1.0)).alias("n")).select("code", digits.alias("v"), "n")
+    # One row of the patterns, sorted, as sums of doubles depend on the order.
+    model = patterns.agg(F.array_sort(F.collect_list(F.struct("code", "v", "n"))).alias("p")).select("p", learned(F.col("p"), rounds).alias("model"))
+    verdicts = model.select(F.explode("p").alias("x"), "model").select(F.col("x.code").alias("_code"), F.round(1 / (1 + F.exp(-evidence(F.col("x.v"), F.col("model")))), 6).alias("posterior"))
+    out = scored.join(F.broadcast(settle(verdicts, "verdicts")), scored["code"] == F.col("_code"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop("code", "_code")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

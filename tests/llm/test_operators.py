@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandline.llm import decontam, lines, mixing, quality, queries, rules, shards, simhash, tokens
@@ -178,34 +179,45 @@ def test_quality_rules(spark, sf_dir, small, odd):
     kept = rules.drop_bad(odd)
     assert kept.columns == odd.columns
     assert rules.drop_bad(odd.limit(0)).count() == 0
-    # Good labelled documents stay, bad ones go.
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = rules.quality_rules(small).join(labels, "doc_id").where("quality = 1 and not base_failed")
-    assert good.where("not kept").count() <= 0.02 * good.count()
+    # The posterior decides: of documents that the base lets pass, most bad ones go and good ones stay.
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    passed = rules.quality_rules(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    by = {r.quality: r for r in passed}
+    assert by[0].n > 20 and by[0].kept <= 0.2 * by[0].n and by[1].kept >= 0.97 * by[1].n
 
 
-def test_expectation_maximisation(spark, small):
-    """The estimated model against the same steps in plain Python."""
-    scored = rules.measures(small.select("text"), "text").withColumn("v", rules.votes()).groupBy("v").count().collect()
-    pats = [([int(np.int8(x)) for x in (r.v if not isinstance(r.v, (bytes, bytearray)) else list(r.v))], r["count"]) for r in scored]
-    acc, prior, total = [rules.START] * rules.N_RULES, rules.PRIOR, sum(n for _, n in pats)
+def brute_estimate(patterns, rounds=20):
+    """patterns: {votes (0 bad, 1 abstains, 2 good): documents}. Posterior of each, in plain Python."""
+    good, bad, prior = [list(rules.OF_GOOD)] * rules.N_RULES, [list(rules.OF_BAD)] * rules.N_RULES, rules.PRIOR
 
     def post(v):
-        odds = np.log(prior / (1 - prior)) + sum(x * np.log(a / (1 - a)) for x, a in zip(v, acc, strict=True))
+        odds = np.log(prior / (1 - prior))
+        for r, x in enumerate(v):
+            ratio = np.log(good[r][x] / bad[r][x])
+            odds += min(0, ratio) if x == 0 else max(0, ratio) if x == 2 else ratio
         return 1 / (1 + np.exp(-odds))
 
-    for _ in range(20):
-        g = [post(v) for v, _ in pats]
-        b = total * 0.01 + 1
-        new = []
-        for r in range(rules.N_RULES):
-            agreed = sum(n * (x if v[r] == 1 else 1 - x if v[r] == -1 else 0) for (v, n), x in zip(pats, g, strict=True))
-            new.append(min(rules.MOST, max(rules.LEAST, (agreed + rules.START * b) / (sum(n * abs(v[r]) for v, n in pats) + b))))
-        prior = min(0.98, max(0.5, (sum(n * x for (_, n), x in zip(pats, g, strict=True)) + rules.PRIOR * b) / (total + b)))
-        acc = new
-    want = sorted(float(post(v)) for v, n in pats for _ in range(n))
-    got = sorted(r.posterior for r in rules.quality_rules(small).collect())
-    assert np.allclose(want, got, atol=1e-5)
+    for _ in range(rounds):
+        g = {v: post(v) for v in patterns}
+        n_good, n_bad = sum(n * g[v] for v, n in patterns.items()), sum(n * (1 - g[v]) for v, n in patterns.items())
+        k = rules.BELIEF * (n_good + n_bad) + 1
+        good = [[(sum(n * g[v] for v, n in patterns.items() if v[r] == x) + k * rules.OF_GOOD[x]) / (n_good + k) for x in range(3)] for r in range(rules.N_RULES)]
+        bad = [[(sum(n * (1 - g[v]) for v, n in patterns.items() if v[r] == x) + k * rules.OF_BAD[x]) / (n_bad + k) for x in range(3)] for r in range(rules.N_RULES)]
+        prior = min(0.99, max(0.5, (n_good + rules.PRIOR * k) / (n_good + n_bad + k)))
+    return {v: post(v) for v in patterns}
+
+
+def test_expectation_maximisation(spark, small):
+    scored = rules.measures(small.select("doc_id", "text"), "text").withColumn("code", rules.votes()).select("doc_id", "code").collect()
+    failed = {r.doc_id: r.base_failed for r in rules.quality_rules(small).collect()}
+    votes = {r.doc_id: tuple(r.code // 3**i % 3 for i in range(rules.N_RULES)) for r in scored}
+    patterns = dict.fromkeys(votes.values(), 0)
+    for i, v in votes.items():
+        patterns[v] += not failed[i]
+    want = brute_estimate(patterns)
+    for r in rules.quality_rules(small).collect():
+        assert abs(r.posterior - want[votes[r.doc_id]]) < 1e-5
 
 
 def brute_kk(weights, k):
@@ -296,8 +308,6 @@ def brute_lines(rows, run=3):
 
 
 def test_line_dedup(spark, small, odd):
-    from pyspark.sql import functions as F
-
     extra = [(7000, "a\nb\nc\nd\n\ne"), (7001, "z\nb \n\n\tc\nd\ny"), (7002, "b\nc"), (7003, "q\nq\nq\nq\nq"), (7004, "a\nb\nc\nd\ne")]
     docs = small.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     for d in (docs, odd.select("doc_id", "text")):
@@ -319,8 +329,6 @@ def test_quality_classifier(spark, sf_dir, odd):
     held = [(r.quality, got[r.doc_id].score) for r in labels.collect() if got[r.doc_id].held_out]
     assert np.mean([(s >= 0.7) == q for q, s in held]) >= 0.93
     # Held-out labels change nothing.
-    from pyspark.sql import functions as F
-
     other = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = {r.doc_id: r.score for r in quality.score(docs, other).collect()}
     assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
