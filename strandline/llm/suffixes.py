@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import RollingHash, mixed, pieces, settle, to_batch
+from strandline.llm.common import RollingHash, mixed, pieces, release, settle, to_batch
 
 #: Bytes that decide where suffixes are sampled.
 GRAM = 16
@@ -75,12 +75,20 @@ class Sampler:
         context = mixed(self.two.of(other, lo, hi + self.length)) ^ mixed(((place - lo) * 4096 + (hi - place) + 4096).astype(np.uint64))
         return place, lo, hi, key.view(np.int64), context.view(np.int64)
 
-    def blocks(self, data: np.ndarray, place: int, lo: int, hi: int) -> tuple[np.ndarray, ...]:
-        """(lo, hi, key, context) of stretches of BLOCK starts, counted from place so that equal strings are in alike
+    def passages(self, data: np.ndarray, length: int) -> np.ndarray:
+        """Keys of suffixes sampled so that equal strings of `length` bytes have one in common."""
+        half = length // 2
+        sums = self.one.sums(data)
+        at = np.arange(len(data) - GRAM + 1)
+        place, _, _ = sampled(mixed(self.one.of(sums, at, at + GRAM)) & np.uint64((1 << 40) - 1), half)
+        place = np.unique(place[place + length - half + 1 <= len(data)])
+        return np.unique(self.one.of(sums, place, place + length - half + 1).view(np.int64))
+
+    def blocks(self, one: np.ndarray, two: np.ndarray, place: int, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(lo, hi, key, context), from both running sums of a text, of stretches of BLOCK starts, counted from place so that equal strings are in alike
         stretches. key: hash of the bytes that any start of the whole stretch has; context: of all bytes of the starts in lo..hi."""
         b = np.arange((place - hi) // BLOCK, (place - lo) // BLOCK + 1)
         first, last = np.maximum(lo, place - b * BLOCK - BLOCK + 1), np.minimum(hi, place - b * BLOCK)
-        one, two = self.one.sums(data), self.two.sums(data)
         core = place - b * BLOCK
         key = mixed(self.one.of(one, core, core - BLOCK + 1 + self.length) + b.astype(np.uint64))
         context = mixed(self.two.of(two, first, last + self.length)) ^ mixed(((core - first) * 4096 + (last - first) + 1).astype(np.uint64))
@@ -90,21 +98,28 @@ class Sampler:
         return tuple(h.of(h.sums(data), starts, starts + self.length).view(np.int64) for h in (self.one, self.two))
 
 
-def suffix_rows(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
-    """(batch, rid, place, lo, hi, key, context) of the sampled suffixes; docs: (rid, text)."""
+def suffix_rows(docs: DataFrame, length: int, n_batches: int, passage: int) -> DataFrame:
+    """(batch, rid, place, lo, hi, key, context) of the sampled suffixes, and as batch -1 (rid, key) of those that stand for passages; docs: (rid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length)
         schema = pa.schema([("batch", pa.int32()), ("rid", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("context", pa.int64())])
         for batch in batches:
             for part in pieces(batch, "text"):
                 found: list[list] = [[] for _ in range(6)]
+                rids, keys = [], []
                 for rid, text in zip(part.column("rid").to_pylist(), part.column("text").to_pylist(), strict=True):
                     data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+                    if len(data) >= passage:
+                        keys.append(sampler.passages(data, passage))
+                        rids.append(np.full(len(keys[-1]), rid))
                     if len(data) < length:
                         continue
                     rows = sampler.suffixes(data)
                     for to, x in zip(found, (np.full(len(rows[0]), rid), *rows), strict=True):
                         to.append(x)
+                if rids:
+                    none = np.zeros(sum(map(len, rids)), dtype=np.int64)
+                    yield to_batch({"batch": none - 1, "rid": np.concatenate(rids), "place": none, "lo": none, "hi": none, "key": np.concatenate(keys), "context": none}, schema)
                 if found[0]:
                     cols = [np.concatenate(x) for x in found]
                     yield to_batch({"batch": cols[0] % n_batches, **dict(zip(schema.names[1:], cols, strict=True))}, schema)
@@ -124,10 +139,12 @@ class SuffixLevels:
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
         self.shared: list[DataFrame] = []
+        self.settled: list[DataFrame] = []
 
     def append(self, suffixes: DataFrame) -> None:
         keys = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         batch = settle(keys.sortWithinPartitions("key"), "suffix-level")
+        self.settled.append(batch)
         self.shared.append(batch.where("n > 1").select("key"))
         own = batch.select("key")
         for _, level in self.levels:
@@ -138,6 +155,7 @@ class SuffixLevels:
             size *= 2
         if size > 1:
             own = settle(own.distinct().sortWithinPartitions("key"), "suffix-level")
+            self.settled.append(own)
         self.levels.append((size, own))
 
     def repeated(self) -> DataFrame:
@@ -148,34 +166,47 @@ class SuffixLevels:
         return out.distinct()
 
 
-def repeated_starts(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
-    """(rid, starts): array of (lo, hi), where strings of `length` bytes start that start elsewhere too. docs: (rid, text)."""
-    rows = settle(suffix_rows(docs, length, n_batches), "suffixes")
+def shared_passages(rows: DataFrame) -> DataFrame:
+    """Texts (rid) with a passage that another text has too. rows: (rid, key). Of a key only the least and greatest text are gathered."""
+    keys = rows.groupBy("key").agg(F.min("rid").alias("one"), F.max("rid").alias("two")).where("one <> two").select(F.col("key").alias("_key"))
+    return rows.join(keys, rows["key"] == keys["_key"], "left_semi").select("rid").distinct()
+
+
+def repeated_starts(docs: DataFrame, length: int, n_batches: int, passage: int) -> DataFrame:
+    """(rid, starts, passage): array of (lo, hi), where strings of `length` bytes start that start elsewhere too, and whether
+    another text has a passage of it. docs: (rid, text)."""
+    all_rows = settle(suffix_rows(docs, length, n_batches, passage), "suffixes")
     family = SuffixLevels()
     for b in range(n_batches):
-        family.append(rows.where(F.col("batch") == b))
+        family.append(all_rows.where(F.col("batch") == b))
     keys = settle(family.repeated().select(F.col("key").alias("_key")), "suffix-keys")
+    release(*family.settled)
+    shared = settle(shared_passages(all_rows.where("batch = -1").select("rid", "key")), "suffix-passages")
+    rows = all_rows.where("batch >= 0")
     rows = settle(rows.join(keys, rows["key"] == keys["_key"], "left_semi").drop("batch"), "suffix-meet")
-    kinds = rows.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "lo", "hi")).alias("x"))
-    doubtful = _doubtful(settle(kinds, "suffix-kinds"))
+    release(all_rows, keys)
+    kinds = settle(rows.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "lo", "hi")).alias("x")), "suffix-kinds")
+    doubtful = _doubtful(kinds)
     full = kinds.where("n > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
     sure = rows.join(full, (rows["key"] == full["_key"]) & (rows["context"] == full["_context"]), "left_semi").select("rid", "lo", "hi")
     sure = settle(sure.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "suffix-sure")
 
     # The same again for short stretches of the starts in doubt, then for each start that is still in doubt.
     texts = settle(_ask(docs, doubtful), "suffix-texts")
+    release(rows, kinds)
 
     def split(row: dict, sampler: Sampler) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(row["text"].encode(), dtype=np.uint8)
-        parts = [sampler.blocks(data, x["place"], x["lo"], x["hi"]) for x in row["xs"]]
+        one, two = sampler.one.sums(data), sampler.two.sums(data)
+        parts = [sampler.blocks(one, two, x["place"], x["lo"], x["hi"]) for x in row["xs"]]
         n = [np.full(len(p[0]), x["n"]) for p, x in zip(parts, row["xs"], strict=True)]
         first, last, key, context = (np.concatenate(c) for c in zip(*parts, strict=True))
         return np.full(len(first), row["rid"]), first, last, key, context, np.concatenate(n)
 
     stretches = settle(_compare(texts, split, length), "suffix-stretches")
-    kinds = stretches.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "lo", F.col("lo").alias("place"), "hi")).alias("x"))
-    kinds = settle(kinds, "stretch-kinds")
-    full = kinds.where("n > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
+    stretch_kinds = stretches.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "lo", F.col("lo").alias("place"), "hi")).alias("x"))
+    stretch_kinds = settle(stretch_kinds, "stretch-kinds")
+    full = stretch_kinds.where("n > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
     alike = stretches.join(full, (stretches["key"] == full["_key"]) & (stretches["context"] == full["_context"]), "left_semi").select("rid", "lo", "hi")
 
     def single(row: dict, sampler: Sampler) -> tuple[np.ndarray, ...]:
@@ -184,11 +215,15 @@ def repeated_starts(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
         n = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["n"]) for x in row["xs"]])
         return np.full(len(starts), row["rid"]), starts, starts, *sampler.strings(data, starts), n
 
-    strings = settle(_compare(_ask(texts.select("rid", "text"), _doubtful(kinds)), single, length), "suffix-strings")
+    strings = settle(_compare(_ask(texts.select("rid", "text"), _doubtful(stretch_kinds)), single, length), "suffix-strings")
     again = strings.groupBy("key", "context").agg(F.sum("n").alias("all")).where("`all` > 1").select(F.col("key").alias("_key"), F.col("context").alias("_context"))
     found = strings.join(again, (strings["key"] == again["_key"]) & (strings["context"] == again["_context"]), "left_semi").select("rid", "lo", "hi")
     more = found.union(alike).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    return settle(sure.union(more).groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "suffix-starts")
+    marked = sure.select("rid", "starts", F.lit(False).alias("passage")).union(more.select("rid", "starts", F.lit(False))).union(shared.select("rid", F.lit(None), F.lit(True)))
+    # Lists of null are left out of collect_list.
+    out = settle(marked.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("passage").alias("passage")), "suffix-starts")
+    release(texts, stretches, stretch_kinds, strings, sure, shared)
+    return out
 
 
 def _doubtful(kinds: DataFrame) -> DataFrame:
@@ -231,8 +266,9 @@ def cut(text: str | None, starts: list | None, length: int) -> tuple[int, list[t
     return len(data), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, n_batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, spans (start, end of removed runs, in bytes), kept (binary).
+def remove_repeats(docs: DataFrame, length: int = 400, n_batches: int = 4, passage: int = 280, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_bytes, spans (start, end of removed runs, in bytes), kept (binary), passage: whether another
+    text has a string of its of `passage` bytes (about 50 words; always found, those of half the length by chance).
 
     Every byte goes that a string of `length` bytes covers which also starts anywhere else, in the same document or
     another; strings are judged on the input. A null text counts as empty, shorter texts lose nothing. Ids
@@ -241,16 +277,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, n_batches: int = 4, id_co
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rid = F.xxhash64(F.col("id"), F.col("text"))
-    texts = rows.where(F.octet_length("text") >= length).select(rid.alias("rid"), "text")
-    starts = repeated_starts(texts, length, n_batches).withColumnRenamed("rid", "_rid")
+    texts = rows.where(F.octet_length("text") >= min(length, passage)).select(rid.alias("rid"), "text")
+    starts = repeated_starts(texts, length, n_batches, passage).withColumnRenamed("rid", "_rid")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([batch.schema.field("id"), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+            schema = pa.schema([batch.schema.field("id"), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("passage", pa.bool_())])
             for part in pieces(batch, "text"):
                 cuts = [cut(t, s, length) for t, s in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True)]
-                yield to_batch({"id": part.column("id"), "n_bytes": [x[0] for x in cuts], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in cuts], "kept": [x[2] for x in cuts]}, schema)
+                yield to_batch({"id": part.column("id"), "n_bytes": [x[0] for x in cuts], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in cuts], "kept": [x[2] for x in cuts], "passage": part.column("passage")}, schema)
 
-    marked = rows.withColumn("rid", rid).join(starts, F.col("rid") == starts["_rid"], "left").select("id", "text", "starts")
-    return marked.mapInArrow(run, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+    marked = rows.withColumn("rid", rid).join(starts, F.col("rid") == starts["_rid"], "left").select("id", "text", "starts", F.coalesce("passage", F.lit(False)).alias("passage"))
+    return marked.mapInArrow(run, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, passage boolean").withColumnRenamed("id", id_col)
