@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import link_components, pick, pieces, settle, to_batch
+from strandline.llm.common import link_components, mixed, pick, pieces, release, settle, to_batch
+from strandline.llm.passages import word_codes
 
 SEED = 42
 #: Lowest bit and width of the three parts of a fingerprint; each fits the 23 bits of the code.
@@ -160,7 +161,9 @@ def fingerprint_links(fps: DataFrame, most_bits: int = 4) -> DataFrame:
     two = keys.where("side = 1").select("k", F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40))
-    return one.join(two, (one["k"] == two["k"]) & near).select("u", "v")
+    links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v"), "fingerprint-links")
+    release(keys)
+    return links
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -187,14 +190,97 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
     return components(prints).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns as they were, with one row of each component: that of the smallest id, null ids last; of rows
-    with that id the one with the smallest hash over all columns, and one of fully equal rows."""
+def word_prints(text: str, n: int) -> list[int]:
+    """n fingerprints of a text's distinct words (A-Z in lower case), each from its own hashes. One changed word moves far fewer bits than in a fingerprint of shingles."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return [0] * n
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+    out = []
+    for k in range(n):
+        own = mixed(h + np.uint64(k))
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(own), 1 << 16):
+            ones += np.unpackbits(own[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(signed(int.from_bytes(np.packbits(2 * ones > len(own), bitorder="little").tobytes(), "little")))
+    return out
+
+
+def sketch(text: str, shingle: int, size: int) -> np.ndarray:
+    """The `size` least hashes (31 bits) of the word shingles, sorted: all of them in a shorter text."""
+    codes = word_codes(text).view(np.uint32).astype(np.uint64)
+    if not len(codes):
+        return np.zeros(0, dtype=np.int32)
+    n = max(1, len(codes) - shingle + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(min(shingle, len(codes))):
+        h = mixed(h * np.uint64(31) + codes[i : i + n] + np.uint64(i + 1))
+    return np.unique((h >> np.uint64(33)).astype(np.int32))[:size]
+
+
+def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
+    """Jaccard similarity of two shingle sets by their sketches: exact while both sets together have at most `size` shingles. Two empty sets are alike."""
+    least = F.slice(F.array_sort(F.array_union(x, y)), 1, size)
+    return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(least, x), y)) / F.size(least))
+
+
+def alike_texts(texts: DataFrame, n_prints: int, similarity: float, size: int) -> DataFrame:
+    """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
+
+    One pass for each fingerprint: texts of one fingerprint meet the least of them, fingerprints within 4 bits meet
+    through Golay keys, and what meets is verified by sketch. Only one text of each component goes on to the
+    next pass, so the links of a dense group are made once.
+    """
+    found, left = [], texts
+    for k in range(n_prints):
+        fp = F.element_at("fps", k + 1)
+        own = settle(left.groupBy(fp.alias("fp")).agg(F.min("th").alias("rep")), "near-prints")
+        same = left.select(fp.alias("fp"), "th").join(own, "fp").where("th <> rep").select(F.col("th").alias("u"), F.col("rep").alias("v"))
+        links = fingerprint_links(own.select("fp").repartition("fp"))
+        one, two = (own.select(F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
+        near = links.join(one, "u").join(two, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+        x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
+        pairs = same.union(near).join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity)
+        found.append(settle(pairs.select("u", "v"), "near-pairs"))
+        release(own, links)
+        if k + 1 < n_prints:
+            label = link_components(found[-1], "near-links").where("node <> label").select(F.col("node").alias("_node"))
+            left = settle(left.join(label, left["th"] == label["_node"], "left_anti"), "near-left")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    return link_components(edges, "near-links")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 4, size: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns as they were, with one row of each group of near-duplicates: that of the smallest id, null ids
+    last; of rows with that id the one with the smallest hash over all columns, and one of fully equal rows.
+
+    Texts are linked if their sets of word shingles (of 5 words, A-Z in lower case) have a Jaccard similarity of 0.8 or
+    more, estimated from the `size` least hashes of both where they have more; groups are the components of links.
+    Candidates are texts of which one of n_prints SimHash fingerprints over the distinct words differs in 4 bits or
+    fewer. Copies are one text there. A null text counts as empty; texts without words are alike. Texts are hashed whole.
+    """
     whole = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("rid"))
-    prints = settle(fingerprints(whole, "text", shingle), "simhash")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
-    best = components(prints).groupBy("label").agg(F.min(order).alias("best")).select("best.id", "best.rid").distinct()
-    best = best.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"))
-    rows = pick(docs).withColumn("id", F.col(f"row.`{id_col}`")).withColumn("rid", F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns]))
-    kept = rows.join(best, (rows["rid"] == best["_rid"]) & rows["id"].eqNullSafe(best["_id"]), "left_semi")
-    return kept.groupBy("rid", "id").agg(F.first("row").alias("row")).select("row.*")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field("id"), ("rid", pa.int64()), ("th", pa.int64()), ("fps", pa.list_(pa.int64())), ("sk", pa.list_(pa.int32()))])
+            for part in pieces(batch, "text"):
+                own = [t or "" for t in part.column("text").to_pylist()]
+                th = [signed(xxhash.xxh64_intdigest(t.encode(), SEED)) for t in own]
+                yield to_batch({"id": part.column("id"), "rid": part.column("rid"), "th": th, "fps": [word_prints(t, n_prints) for t in own], "sk": pa.array([sketch(t, shingle, size) for t in own], type=pa.list_(pa.int32()))}, schema)
+
+    prints = settle(whole.mapInArrow(run, f"id {kind}, rid long, th long, fps array<long>, sk array<int>"), "near-texts")
+    texts = settle(prints.groupBy("th").agg(F.first("fps").alias("fps"), F.first("sk").alias("sk")), "near-distinct")
+    label = settle(alike_texts(texts, n_prints, similarity, size), "near-labels").withColumnRenamed("node", "_node")
+    rows = prints.join(label, prints["th"] == label["_node"], "left").select("id", "rid", F.coalesce("label", "th").alias("label"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    best = rows.groupBy("label").agg(F.min(first).alias("best")).select(F.col("best.rid").alias("_rid"))
+    many = prints.groupBy("rid").agg(F.count(F.lit(1)).alias("_n"))
+    best = settle(best.join(many, best["_rid"] == many["rid"]).select("_rid", "_n"), "near-best")
+    release(texts, prints)
+    kept = pick(docs).withColumn("rid", F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns])).join(best, F.col("rid") == best["_rid"])
+    once = kept.where("_n = 1").select("row")
+    return once.union(kept.where("_n > 1").groupBy("rid").agg(F.first("row").alias("row")).select("row")).select("row.*")

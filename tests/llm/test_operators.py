@@ -124,12 +124,42 @@ def test_simhash(spark, small, odd):
         group[c].append(i)
     want = Counter((i, f"{f:016x}", min(group[c])) for (i, _), f, c in zip(rows, fps, label, strict=True))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
-    kept = simhash.drop_near_duplicates(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in group.values())
     assert simhash.near_duplicates(odd).count() == odd.count()
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def five_words(text):
+    w = (text or "").translate(LOWER).split(" ")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_go(spark, odd):
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in range(60):
+        words = [f"X{i}" for i in rng.integers(0, 3000, 180)]
+        rows.append((4 * n, " ".join(words)))
+        for k, changed in enumerate((1, 2, 12)):
+            own = list(words)
+            for i in rng.choice(180, changed, replace=False):
+                own[i] = f"y{rng.integers(0, 9999)}"
+            rows.append((4 * n + k + 1, " ".join(own)))
+    rows += [(500, rows[0][1]), (501, rows[0][1].lower()), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    text = dict(rows)
+    missed = 0
+    for n in range(60):
+        own = [five_words(text[4 * n + k]) for k in range(4)]
+        alike = [len(own[0] & x) / len(own[0] | x) >= 0.8 for x in own]
+        assert alike == [True, True, True, False] and 4 * n in kept and 4 * n + 3 in kept
+        missed += sum(4 * n + k in kept for k in (1, 2))
+    assert missed <= 6 and not {500, 501, None} & kept
     once = simhash.drop_near_duplicates(odd)
-    assert once.columns == odd.columns and once.where("text = 'no id'").count() == 1
+    assert once.columns == odd.columns and once.where("text = 'no id'").count() == 1 and once.where("doc_id = 16").count() == 0
+    # Texts without words are alike, a null one too; equal rows leave one.
+    assert once.where("doc_id in (0, 1, 2)").count() == 1 and once.where("doc_id = 8").count() == 2
+    assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
 def test_every_pattern_of_four_errors_meets():
@@ -354,6 +384,8 @@ def test_pipeline(spark, sf_dir, small):
             assert out.count() < docs.count(), name
         docs = out
     final = p.run(spark, sf_dir)
+    assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= set(final.columns)
+    assert Counter((r.doc_id, r.text) for r in final.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in docs.collect())
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and Row
 
