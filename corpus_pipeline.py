@@ -1,37 +1,42 @@
-"""From raw documents to shards: rules, near-duplicates, benchmark passages, mix, shards."""
+"""From raw documents to shards: rules, near-duplicates, benchmark passages, mix, shards.
+
+Stages take and give the columns of documents (doc_id, text, lang, source, n_chars and any others); the last adds its own.
+Null texts have no words: the rules reject them. Null ids, sources and other columns pass through; repeated rows are one
+document to the near-duplicate stage and several to the others. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontam, mixing, rules, shards, simhash
-from strandline.llm.common import settle
+from strandline.llm.common import release, settle
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have too few words; repeated rows are judged alike."""
     return rules.drop_bad(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8), that of the smallest id; null ids come last, one of equal rows stays."""
     return simhash.drop_near_duplicates(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty is of a benchmark passage."""
+    """Documents of which less than one word in twenty is of a benchmark passage. Null and empty texts stay; null items are not searched."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources interleave at their target weights."""
+    """All documents, in the order in which the sources interleave at their target weights. Null is a source like any other."""
     return mixing.mixed_order(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: 40 shards of near-equal bytes, whose slots follow the mix."""
+    """The documents, with the shard and the slot that each goes to: 40 shards of near-equal bytes, whose slots follow the mix. A null text counts as empty."""
     # A table that is read again has no order, so the positions come from the schedule once more, the same for the same rows.
-    keep = ("lang", "source", "n_chars")
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     rows = mixing.schedule(docs, carry=shards.measures(docs, keep=keep)).select("position", "row.*")
     return shards.place_rows(rows, keep=keep, along="position")
 
@@ -45,6 +50,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
