@@ -316,6 +316,20 @@ def test_mixing(spark, small, odd):
         rows = mixing.schedule(docs, per_bucket=40, block_rows=2).collect()
         assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts(docs))
         assert len({r.position for r in rows}) == len(rows)
+    # Exact targets over several periods, however small; a source without a weight comes last.
+    rows = [(i, "big" if i % 3 else f"s{i % 19}") for i in range(1500)] + [(9000 + i, "none") for i in range(5)]
+    target = {"big": 0.6667, "s0": 0.0003, **{f"s{k}": 0.0185 for k in range(1, 19)}}
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights=target, block_rows=1, least_period=250).collect()
+    assert sum(target.values()) == pytest.approx(1) and max(r.slot for r in got if r.source == "none") > max(r.slot for r in got if r.source != "none")
+    plan = mixing.shares(spark.createDataFrame([(s, 1) for s in target], "source string, n long"), target, 0.5, 10_000)
+    assert {r.source: r.share for r in plan.collect()} == {s: round(10_000 * w) for s, w in target.items()}
+    slots = sorted((r.slot, r.source) for r in mixing.timetable(plan).collect())
+    count = Counter()
+    for t in range(3 * 10_000):
+        count[slots[t % 10_000][1]] += 1
+        if t % 97 == 0 or t % 10_000 == 9_999:
+            assert all(abs(count[x] - (t + 1) * w) < 1 + 1e-6 for x, w in target.items())
+    assert [s for s, _ in slots] == list(range(10_000))
     assert mixing.schedule(small, weights={"src0": 3, "src1": 1}).count() == small.count()
     assert mixing.schedule(odd.limit(0)).count() == 0
     mixed = mixing.mixed_order(odd)
