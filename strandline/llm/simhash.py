@@ -227,28 +227,32 @@ def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
 def alike_texts(texts: DataFrame, n_prints: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
-    One pass for each fingerprint: texts of one fingerprint meet the least of them, fingerprints within 4 bits meet
-    through Golay keys, and what meets is verified by sketch. Only one text of each component goes on to the
-    next pass, so the links of a dense group are made once.
+    Texts of one fingerprint first meet the least of them, so a dense group falls into few components; one text of each
+    goes on. Of those, fingerprints within 4 bits meet through Golay keys. What meets is verified by sketch.
     """
-    found, left = [], texts
+    def prints(of: DataFrame, k: int) -> DataFrame:
+        return of.groupBy(F.element_at("fps", k + 1).alias("fp")).agg(F.min("th").alias("rep"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
+        return settle(pairs.where("u <> v").distinct().join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity).select("u", "v"), name)
+
+    fps = texts.select("th", F.posexplode("fps").alias("k", "fp"))
+    least = fps.groupBy("k", "fp").agg(F.min("th").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "fp", "rep")
+    equal = verified(fps.join(least, ["k", "fp"]).select(F.col("th").alias("u"), F.col("rep").alias("v")), "near-equal")
+    known = settle(link_components(equal, "near-links").where("node <> label"), "near-known")
+    left = settle(texts.join(known.select(F.col("node").alias("_node")), texts["th"] == F.col("_node"), "left_anti").select("th", "fps"), "near-left")
+    met = []
     for k in range(n_prints):
-        fp = F.element_at("fps", k + 1)
-        own = settle(left.groupBy(fp.alias("fp")).agg(F.min("th").alias("rep")), "near-prints")
-        same = left.select(fp.alias("fp"), "th").join(own, "fp").where("th <> rep").select(F.col("th").alias("u"), F.col("rep").alias("v"))
+        own = settle(prints(left, k), "near-prints")
         links = fingerprint_links(own.select("fp").repartition("fp"))
         one, two = (own.select(F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
-        near = links.join(one, "u").join(two, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
-        x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
-        pairs = same.union(near).join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity)
-        found.append(settle(pairs.select("u", "v"), "near-pairs"))
+        met.append(settle(links.join(one, "u").join(two, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")), "near-met"))
         release(own, links)
-        if k + 1 < n_prints:
-            label = link_components(found[-1], "near-links").where("node <> label").select(F.col("node").alias("_node"))
-            left = settle(left.join(label, left["th"] == label["_node"], "left_anti"), "near-left")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.union(more)
+    edges = verified(pairs, "near-pairs").union(known.select(F.col("node").alias("u"), F.col("label").alias("v")))
     return link_components(edges, "near-links")
 
 
