@@ -21,7 +21,10 @@ def densify(panel: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def adjusted(dense: DataFrame, factors: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
-    """Prices times the adjustment factor, which holds until the next one and is 1 before the first."""
+    """Prices times the adjustment factor, which holds until the next one and is 1 before the first. A factor that is not a positive number is an error."""
+    raw = F.col("adj_factor").cast("double")
+    fine = raw.isNull() | ((raw > 0) & ~F.isnan(raw) & (raw < float("inf")))
+    factors = factors.withColumn("adj_factor", F.when(fine, raw).otherwise(F.raise_error(F.lit("adjustment factor that is not a positive number")).cast("double")))
     held = F.coalesce(F.last("adj_factor", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
     out = dense.join(factors, ["datetime", "instrument"], "left").withColumn("_held", held)
     return out.withColumns({c: F.col(c) * F.col("_held") for c in columns}).drop("_held", "adj_factor")

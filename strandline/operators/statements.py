@@ -6,7 +6,7 @@ trading day after its announcement. Revisions stay beside originals until a step
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,3 +103,66 @@ def named_at(dates: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.select(F.col("code").alias("_c"), "start", "next", "is_risk", "name")
     on = (dates["code"] == s["_c"]) & (s["start"] <= dates["datetime"]) & (s["next"].isNull() | (dates["datetime"] < s["next"]))
     return dates.join(s, on, "left").drop("_c", "start", "next")
+
+
+def profit_over_equity() -> Column:
+    """Operating profit after financing over equity; NULL where an input is or equity is not positive."""
+    c = F.col
+    return (c("revenue") - c("oper_cost") - c("sell_exp") - c("admin_exp") - c("fin_exp")) / F.when(c("equity") > 0, c("equity"))
+
+
+def cash_profit_over_assets() -> Column:
+    """Operating profit less the change of what it left uncollected, over assets; each `x` beside `x_prior`, the quarter before.
+
+    Advance receipts and contract liabilities are one input under two names, merged for each quarter before the change is taken."""
+    c = F.col
+    change = {x: c(x) - c(f"{x}_prior") for x in ("receivables", "inventories", "prepayments", "payables")}
+    owed = F.coalesce("advances", "contract_liabilities") - F.coalesce("advances_prior", "contract_liabilities_prior")
+    earned = c("revenue") - c("oper_cost") - c("sell_exp") - c("admin_exp")
+    return (earned - change["receivables"] - change["inventories"] - change["prepayments"] + change["payables"] + owed) / F.when(c("total_assets") > 0, c("total_assets"))
+
+
+def misaligned(periods: Sequence[str]) -> Column:
+    """Whether all sources have served a period, and not the same."""
+    return F.forall(F.array(*periods), lambda x: x.isNotNull()) & (F.size(F.array_distinct(F.array(*periods))) > 1)
+
+
+def aligned(panel: DataFrame, fields: Mapping[str, str], prior: Mapping[str, str] | None = None) -> DataFrame:
+    """panel with the fields NULL in rows whose periods are not proven to agree. fields: value column to its period column;
+    prior: of values of the quarter before, whose period must be the quarter before the common one."""
+    periods = [F.col(p) for p in sorted(set(fields.values()))]
+    same = periods[0].isNotNull()
+    for p in periods[1:]:
+        same = same & p.eqNullSafe(periods[0])
+    for p in sorted(set((prior or {}).values())):
+        same = same & F.coalesce(F.col(p) == F.last_day(F.add_months(periods[0], -3)), F.lit(False))
+    return panel.withColumns({c: F.when(same, F.col(c)) for c in [*fields, *(prior or {})]})
+
+
+def panel_defects(panel: DataFrame, record: DataFrame) -> DataFrame:
+    """Rows of an as-of panel that break what it promises, with `defect`: found twice, a period that ends after the day, or one that was not available."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("datetime", "code"))
+    known = record.groupBy(F.col("code").alias("_c"), F.col("period").alias("_p")).agg(F.min("available_from").alias("_a"))
+    rows = panel.withColumn("_n", n).join(known, (F.col("code") == F.col("_c")) & (F.col("period") == F.col("_p")), "left")
+    defect = F.when(F.col("_n") > 1, "twice").when(F.col("period") > F.col("datetime"), "after the day").when(F.col("_a").isNull() | (F.col("_a") > F.col("datetime")), "not available")
+    return rows.withColumn("defect", defect).where("defect is not null").select("datetime", "code", "period", "defect")
+
+
+def exclusion_conflicts(record: DataFrame, financial: DataFrame) -> DataFrame:
+    """(code, conflict): financial issuers that report an operating cost, and others that never do. financial: (code)."""
+    seen = record.groupBy("code").agg(F.max(F.col("oper_cost").isNotNull()).alias("reports")).join(financial.select("code", F.lit(True).alias("_f")).distinct(), "code", "left")
+    conflict = F.when(F.col("_f") & F.col("reports"), "financial with cost").when(F.col("_f").isNull() & ~F.col("reports"), "never reports cost")
+    return seen.withColumn("conflict", conflict).where("conflict is not null").select("code", "conflict")
+
+
+def exclusion_counts(stocks: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(industry, n_names, n_excluded) of industries with excluded names."""
+    out = stocks.join(excluded.select("instrument", F.lit(1).alias("_x")).distinct(), "instrument", "left").groupBy("industry").agg(F.count(F.lit(1)).alias("n_names"), F.count("_x").alias("n_excluded"))
+    return out.where("n_excluded > 0")
+
+
+def shifted_winners(panel: DataFrame, later: DataFrame, least_share: float) -> DataFrame:
+    """One row: how many (day, code) serve the same period when announcements are shifted, and OK, REFUSE or INCONCLUSIVE (nothing to compare)."""
+    both = panel.select("datetime", "code", "period").join(later.select("datetime", "code", F.col("period").alias("_p")), ["datetime", "code"], "full")
+    sums = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("period").eqNullSafe(F.col("_p"))).alias("n_same"))
+    return sums.withColumn("verdict", F.when(F.col("n") == 0, "INCONCLUSIVE").when(F.col("n_same") >= F.col("n") * least_share, "OK").otherwise("REFUSE"))
