@@ -224,11 +224,11 @@ def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
     return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(least, x), y)) / F.size(least))
 
 
-def alike_texts(texts: DataFrame, n_prints: int, similarity: float, size: int) -> DataFrame:
+def alike_texts(texts: DataFrame, n_prints: int, most_bits: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
     Texts of one fingerprint first meet the least of them, so a dense group falls into few components; one text of each
-    goes on. Of those, fingerprints within 4 bits meet through Golay keys. What meets is verified by sketch.
+    goes on. Of those, fingerprints within most_bits meet through Golay keys. What meets is verified by sketch.
     """
     def prints(of: DataFrame, k: int) -> DataFrame:
         return of.groupBy(F.element_at("fps", k + 1).alias("fp")).agg(F.min("th").alias("rep"))
@@ -245,7 +245,7 @@ def alike_texts(texts: DataFrame, n_prints: int, similarity: float, size: int) -
     met = []
     for k in range(n_prints):
         own = settle(prints(left, k), "near-prints")
-        links = fingerprint_links(own.select("fp").repartition("fp"))
+        links = fingerprint_links(own.select("fp").repartition("fp"), most_bits)
         one, two = (own.select(F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
         met.append(settle(links.join(one, "u").join(two, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")), "near-met"))
         release(own, links)
@@ -256,14 +256,14 @@ def alike_texts(texts: DataFrame, n_prints: int, similarity: float, size: int) -
     return link_components(edges, "near-links")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 4, size: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 4, most_bits: int = 3, size: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns as they were, with one row of each group of near-duplicates: that of the smallest id, null ids
     last; of rows with that id the one with the smallest hash over all columns, and one of fully equal rows.
 
     Texts are linked if their sets of word shingles (of 5 words, A-Z in lower case) have a Jaccard similarity of 0.8 or
     more, estimated from the `size` least hashes of both where they have more; groups are the components of links.
-    Candidates are texts of which one of n_prints SimHash fingerprints over the distinct words differs in 4 bits or
-    fewer. Copies are one text there. A null text counts as empty; texts without words are alike. Texts are hashed whole.
+    Candidates are texts of which one of n_prints SimHash fingerprints over the distinct words differs in most_bits or
+    fewer (0 to 4); more find more, and make more links in a dense group. Copies are one text there. A null text counts as empty; texts without words are alike. Texts are hashed whole.
     """
     whole = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("rid"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -278,7 +278,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     prints = settle(whole.mapInArrow(run, f"id {kind}, rid long, th long, fps array<long>, sk array<int>"), "near-texts")
     texts = settle(prints.groupBy("th").agg(F.first("fps").alias("fps"), F.first("sk").alias("sk")), "near-distinct")
-    label = settle(alike_texts(texts, n_prints, similarity, size), "near-labels").withColumnRenamed("node", "_node")
+    label = settle(alike_texts(texts, n_prints, most_bits, similarity, size), "near-labels").withColumnRenamed("node", "_node")
     rows = prints.join(label, prints["th"] == label["_node"], "left").select("id", "rid", F.coalesce("label", "th").alias("label"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     best = rows.groupBy("label").agg(F.min(first).alias("best")).select(F.col("best.rid").alias("_rid"))
