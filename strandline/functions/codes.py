@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def to_prefixed(code: Column) -> Column:
     """600000.SH to SH600000; other strings as they are."""
-    return F.regexp_replace(code, r"^(\d{6})\.(SH|SZ|BJ)$", "$2$1")
+    return F.regexp_replace(code, r"^(\d{6})\.([A-Z]{2})$", "$2$1")
 
 
 def to_suffixed(code: Column) -> Column:
     """SH600000 to 600000.SH; other strings as they are."""
-    return F.regexp_replace(code, r"^(SH|SZ|BJ)(\d{6})$", "$2.$1")
+    return F.regexp_replace(code, r"^([A-Z]{2})(\d{6})$", "$2.$1")
 
 
 def compact_date(x: Column) -> Column:
@@ -78,7 +78,8 @@ BOARDS = {
 
 
 def board(instrument: Column) -> Column:
-    """The board of a prefixed code, else `other`."""
+    """The board of a prefixed code (two letters and six digits), else `other`."""
+    instrument = F.when(instrument.rlike(r"^[A-Z]{2}\d{6}$"), instrument)
     out = F.lit("other")
     for name, pattern in BOARDS.items():
         out = F.when(F.coalesce(instrument.rlike(pattern), F.lit(False)), name).otherwise(out)

@@ -32,6 +32,12 @@ def daily_ic(rows: DataFrame, *keys: str, method: str = "rank", least: int = 3)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, ic).alias("ic"))
 
 
+def signal_summary(daily: DataFrame, least: int = 10) -> DataFrame:
+    """One row: ic_summary of a signal, all but the days NULL under `least` days with an IC."""
+    out = ic_summary(daily)
+    return out.select("days", *[F.when(F.col("days") >= least, F.col(c)).alias(c) for c in out.columns if c != "days"])
+
+
 def ic_summary(daily: DataFrame, *keys: str) -> DataFrame:
     """Days, mean, sample deviation, mean over deviation and share of positive days; one of 1e-12 or less is a zero, whatever the order of its sums."""
     sd = F.stddev_samp("ic")
@@ -53,6 +59,11 @@ def name_turnover(predictions: DataFrame, k: int) -> DataFrame:
     return own.join(old, ["_before", "instrument"], "left").groupBy("datetime").agg(F.avg(F.when(F.col("_old").isNull(), 1.0).otherwise(0.0)).alias("turnover"))
 
 
+def turnover_summary(predictions: DataFrame, k: int) -> DataFrame:
+    """One row: days, mean and population deviation of the daily turnover of the k best names."""
+    return name_turnover(predictions, k).agg(F.count("turnover").alias("days"), F.avg("turnover").alias("mean"), F.stddev_pop("turnover").alias("std"))
+
+
 def returns_by_lag(dense: DataFrame, lags: tuple[int, ...], entry: int = 0) -> DataFrame:
     """(datetime, instrument, lag, ret): all lags from one sort, then unpivoted."""
     columns = {f"_r{h}": forward_return(F.col("close"), h, entry) for h in lags}

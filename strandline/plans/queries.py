@@ -107,6 +107,13 @@ def name_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.name_turnover(v.predictions(spark, sf_dir), 10).select("datetime", F.round("turnover", 6).alias("turnover"))
 
 
+@query("turnover_summary", TOP + """, d as (select datetime, lag(datetime) over (order by datetime) as b from (select distinct datetime from top)),
+t as (select t.datetime, avg(case when o.instrument is null then 1.0 else 0.0 end) as turnover from top t join d on d.datetime = t.datetime left join top o on o.datetime = d.b and o.instrument = t.instrument where d.b is not null group by t.datetime)
+select count(*) as days, round(avg(turnover), 6) as mean, round(stddev_pop(turnover), 6) as std from t""")
+def turnover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.turnover_summary(v.predictions(spark, sf_dir), 10).select("days", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("equal_weight_returns", TOP + """, m as (select datetime, instrument, lead(close, 2) over wi / lead(close, 1) over wi - 1 as ret from dense window wi as (partition by instrument order by datetime))
 select t.datetime, round(avg(m.ret), 6) as ret, count(m.ret) as n from top t join m on m.datetime = t.datetime and m.instrument = t.instrument group by t.datetime""")
 def equal_weight_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
