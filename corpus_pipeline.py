@@ -8,6 +8,8 @@ document to the near-duplicate stage and several to the others. An empty table g
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm import decontam, mixing, rules, shards, simhash
 from strandline.llm.common import release, settle
@@ -36,9 +38,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, with the shard and the slot that each goes to: 40 shards of near-equal bytes, whose slots follow the mix. A null text counts as empty."""
     # A table that is read again has no order, so the positions come from the schedule once more, the same for the same rows.
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
-    rows = mixing.schedule(docs, carry=shards.measures(docs, keep=keep)).select("position", "row.*")
-    return shards.place_rows(rows, keep=keep, along="position")
+    # Texts are moved once, at the end: rows meet their places by a hash of all columns, equal rows one to one.
+    rid = F.xxhash64(*[docs[c] for c in docs.columns])
+    rows = mixing.schedule(docs, carry=[*shards.measures(docs), rid.alias("_rid")]).select("position", "row.*")
+    new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    nth = Window.partitionBy("_rid").orderBy("slot", "shard")
+    places = shards.place_rows(rows, keep=("_rid",), along="position").withColumn("_m", F.row_number().over(nth)).select(F.col("_rid").alias("_r"), "_m", *new)
+    own = docs.drop(*new).withColumn("_rid", rid).withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_rid")))
+    return own.join(places, (own["_rid"] == places["_r"]) & (own["_n"] - places["_m"] == 0)).drop("_rid", "_n", "_r", "_m")
 
 
 STAGES = [("quality rules", keep_good), ("near-duplicates", one_of_each), ("decontamination", clean_of_benchmark), ("mixing", mix), ("sharding", shard)]
