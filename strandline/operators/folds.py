@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.operators.panel import following
+
 
 def annualised(total: Column, n: Column, periods: int = 252) -> Column:
     """Yearly rate of a total return over n periods; NULL without periods or where all or more is lost."""
@@ -57,8 +59,7 @@ def first_session(table: DataFrame, start: str) -> DataFrame:
 
 def next_of(dates: DataFrame, days: DataFrame) -> DataFrame:
     """dates (d) with `due`, the first of the days on or after d; NULL past the last. Given the first days of weeks, the next rebalance day."""
-    runs = days.select(F.coalesce(F.lag("datetime").over(Window.orderBy("datetime")), F.to_date(F.lit("0001-01-01"))).alias("_after"), F.col("datetime").alias("due"))
-    return dates.join(F.broadcast(runs), (dates["d"] > runs["_after"]) & (dates["d"] <= runs["due"]), "left").drop("_after")
+    return following(dates, days, "due", 0)
 
 
 def review_progress(candidates: DataFrame, journal: DataFrame, day: str, code: str) -> DataFrame:

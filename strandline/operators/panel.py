@@ -73,13 +73,34 @@ def membership_runs(snapshots: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(last), how="cross").select("instrument", "start", F.when(F.col("_idx") == F.col("_last"), F.to_date(F.lit("2099-12-31"))).otherwise(F.col("end")).alias("end"))
 
 
+def on_days(rows: DataFrame, days: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """rows with `datetime`, a row for each day of the calendar from the date lo to the date hi; rows with a null end go.
+
+    Dates between both, inside the calendar, are exploded and met by equality, so work follows the result."""
+    edge = days.agg(F.min("datetime").alias("_a"), F.max("datetime").alias("_b"))
+    inside = rows.where(lo.isNotNull() & hi.isNotNull()).join(F.broadcast(edge), how="cross").withColumns({"_lo": F.greatest(lo, F.col("_a")), "_hi": F.least(hi, F.col("_b"))}).where("_lo <= _hi")
+    each = inside.withColumn("datetime", F.explode(F.sequence("_lo", "_hi"))).drop("_a", "_b", "_lo", "_hi")
+    return each.join(F.broadcast(days.select("datetime").distinct()), "datetime")
+
+
+def following(dates: DataFrame, days: DataFrame, name: str, gap: int) -> DataFrame:
+    """dates (d, a date) with `name`, the first of the days at least `gap` days after d; NULL past the end.
+
+    A small table has a row for each date between the first day and the last, so dates meet it by equality; those before it
+    count as its first."""
+    before = F.lag("datetime").over(Window.orderBy("datetime"))
+    runs = days.select("datetime").distinct().select("datetime", F.coalesce(F.date_sub(before, gap - 1), F.date_sub("datetime", gap)).alias("_from"))
+    each = runs.select(F.explode(F.sequence("_from", F.date_sub("datetime", gap))).alias("_d"), F.col("datetime").alias(name))
+    first = days.agg(F.date_sub(F.min("datetime"), gap).alias("_first"))
+    key = F.when(F.col("d") < F.col("_first"), F.col("_first")).otherwise(F.to_date("d"))
+    return dates.join(F.broadcast(first), how="cross").withColumn("_key", key).join(F.broadcast(each), F.col("_key") == F.col("_d"), "left").drop("_first", "_key", "_d")
+
+
 def members_at(days: DataFrame, spans: DataFrame) -> DataFrame:
     """(datetime, instrument): members of each day, both ends included."""
-    d = days.select("datetime")
-    return spans.join(F.broadcast(d), (d["datetime"] >= spans["start"]) & (d["datetime"] <= spans["end"])).select("datetime", "instrument").distinct()
+    return on_days(spans.select("instrument", "start", "end"), days, F.col("start"), F.col("end")).select("datetime", "instrument").distinct()
 
 
 def next_day(dates: DataFrame, days: DataFrame) -> DataFrame:
-    """dates (d) with the first calendar day after d; NULL past the end."""
-    runs = days.select(F.coalesce(F.lag("datetime").over(Window.orderBy("datetime")), F.to_date(F.lit("0001-01-01"))).alias("_from"), F.col("datetime").alias("next"))
-    return dates.join(F.broadcast(runs), (dates["d"] >= runs["_from"]) & (dates["d"] < runs["next"]), "left").drop("_from")
+    """dates (d) with `next`, the first calendar day after d; NULL past the end."""
+    return following(dates, days, "next", 1)

@@ -40,10 +40,21 @@ def moved_days(rows: DataFrame, days: DataFrame, by: int) -> DataFrame:
 
 
 def days_between(days: DataFrame, a: str, b: str, spans: DataFrame) -> DataFrame:
-    """spans with `n_days`: trading days in [a, b]."""
-    d = days.select("datetime")
-    found = spans.select(a, b).distinct().join(F.broadcast(d), (d["datetime"] >= F.col(a)) & (d["datetime"] <= F.col(b)), "left").groupBy(a, b).agg(F.count("datetime").alias("n_days"))
-    return spans.join(found, [a, b])
+    """spans with `n_days`: trading days in the dates [a, b], the difference of two places in the calendar; spans with a null end go.
+
+    A small table has the number of days before each date, from the first day to the date after the last."""
+    own = days.select("datetime").distinct()
+    edge = own.agg(F.min("datetime").alias("_lo"), F.date_add(F.max("datetime"), 1).alias("_hi"))
+    ends = own.union(edge.select("_hi")).where("datetime is not null")
+    order = Window.orderBy("datetime")
+    runs = ends.select("datetime", F.coalesce(F.date_add(F.lag("datetime").over(order), 1), "datetime").alias("_from"), (F.row_number().over(order) - 1).cast("long").alias("_n"))
+    before = runs.select(F.explode(F.sequence("_from", "datetime")).alias("_d"), "_n")
+    one, two = (before.select(F.col("_d").alias(f"_d{i}"), F.col("_n").alias(f"_n{i}")) for i in "ab")
+    at = spans.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(F.broadcast(edge), how="cross")
+    at = at.withColumns({"_a": F.least(F.greatest(F.col(a), F.col("_lo")), F.col("_hi")), "_b": F.least(F.greatest(F.date_add(b, 1), F.col("_lo")), F.col("_hi"))})
+    found = at.join(F.broadcast(one), F.col("_a") == F.col("_da"), "left").join(F.broadcast(two), F.col("_b") == F.col("_db"), "left")
+    n = F.coalesce(F.greatest(F.col("_nb") - F.col("_na"), F.lit(0)), F.lit(0)).cast("long")
+    return found.withColumn("n_days", n).drop("_lo", "_hi", "_a", "_b", "_da", "_na", "_db", "_nb")
 
 
 def window_overlaps(windows: DataFrame) -> DataFrame:

@@ -102,9 +102,10 @@ def held_returns(panel: DataFrame, stamps: DataFrame) -> DataFrame:
     """(signal, instrument, ret, state) from the close at `execution` to the last close up to `horizon_end`.
 
     state: held, truncated (no close on the last session), flat (no close after entry; ret 0). Names without a close at
-    execution have no row. stamps: (signal, execution, horizon_end); windows do not overlap by more than a few."""
-    s = stamps.select("signal", "execution", "horizon_end")
-    rows = panel.where("close is not null").join(F.broadcast(s), F.col("datetime").between(F.col("execution"), F.col("horizon_end")))
+    execution have no row. stamps: (signal, execution, horizon_end), dates; windows do not overlap by more than a few, so that
+    the table of the days of all windows, which the panel meets by the day, is small."""
+    s = stamps.where("execution <= horizon_end").select(F.explode(F.sequence("execution", "horizon_end")).alias("_d"), "signal", "execution", "horizon_end")
+    rows = panel.where("close is not null").join(F.broadcast(s), F.col("datetime") == F.col("_d"))
     later = F.col("datetime") > F.col("execution")
     out = rows.groupBy("signal", "instrument").agg(
         F.max(F.when(~later, F.col("close"))).alias("_in"), F.max_by(F.when(later, F.col("close")), F.when(later, F.col("datetime"))).alias("_out"),

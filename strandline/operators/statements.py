@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.operators.panel import next_day
+from strandline.operators.panel import next_day, on_days
 
 KEY = ("code", "period")
 
@@ -59,8 +59,8 @@ def served_spans(record: DataFrame, *values: str) -> DataFrame:
 
 def as_of_panel(record: DataFrame, days: DataFrame, *values: str) -> DataFrame:
     """(datetime, code, period, values): what is served on each trading day. The calendar is small and broadcast."""
-    s, d = served_spans(record, *values), days.select("datetime")
-    return s.join(F.broadcast(d), (d["datetime"] >= s["from"]) & (s["to"].isNull() | (d["datetime"] < s["to"]))).select("datetime", "code", "period", *values)
+    last = F.coalesce(F.date_sub("to", 1), F.to_date(F.lit("9999-12-31")))
+    return on_days(served_spans(record, *values), days, F.col("from"), last).select("datetime", "code", "period", *values)
 
 
 def with_period(panel: DataFrame, record: DataFrame, period: Column, value: str, name: str) -> DataFrame:

@@ -69,10 +69,11 @@ def sizes_as_of(sizes: DataFrame, at: DataFrame, days: DataFrame, most_sessions:
     """(datetime, instrument, size, age): on each trading day of `at`, the last size that is there and at most
     most_sessions trading days old; names without one have no row. sizes: (datetime, instrument, size).
 
-    A size row goes to the days of `at` that it can serve, at most one in (distance of the days) of its lifetime."""
-    placed = days.join(at.select("datetime").distinct(), "datetime", "left_semi").select("datetime", F.col("idx").alias("_at"))
-    own = sizes.where("size is not null").join(F.broadcast(days), "datetime").select("instrument", "size", "idx")
-    hits = own.join(F.broadcast(placed), F.col("idx").between(F.col("_at") - most_sessions, F.col("_at")))
+    A size row meets the days of `at` that it can serve in a table of the calendar's size, by the day's equality."""
+    placed = days.join(at.select("datetime").distinct(), "datetime", "left_semi").select(F.col("datetime").alias("_on"), F.col("idx").alias("_at"))
+    reach = days.select(F.col("datetime").alias("_d"), "idx", F.explode(F.sequence("idx", F.col("idx") + most_sessions)).alias("_at")).join(placed, "_at")
+    own = sizes.where("size is not null").select("instrument", "size", "datetime")
+    hits = own.join(F.broadcast(reach), own["datetime"] == F.col("_d")).select("instrument", "size", "idx", "_at", F.col("_on").alias("datetime"))
     return hits.groupBy("datetime", "instrument").agg(F.max_by("size", "idx").alias("size"), (F.max("_at") - F.max("idx")).alias("age"))
 
 
