@@ -123,18 +123,18 @@ def write_registry(registry: DataFrame, path: str) -> None:
     registry.drop("defect").write.parquet(path, mode="overwrite")
 
 
-def write_artifact(rows: DataFrame, path: str, snapshot_date: str | None = None) -> None:
+def write_artifact(rows: DataFrame, path: str, snapshot_date: str | None = None, day: str = "trade_date") -> None:
     """CSV in <path>/rows and a one-row JSON manifest (n_rows, first, last, snapshot_date) in <path>/manifest.
 
     A range (effective_start, effective_end) that ends before it starts refuses, and so does a snapshot date that is not the
-    last `trade_date`."""
+    last `day` (`date` in a benchmark)."""
     if {"effective_start", "effective_end"} <= set(rows.columns):
         refuse(rows.where("effective_start > effective_end"), "a range ends before it starts")
         lo, hi = "effective_start", "effective_end"
     else:
-        lo = hi = "trade_date"
+        lo = hi = day
     manifest = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min(lo).alias("first"), F.max(hi).alias("last")).withColumn("snapshot_date", F.lit(snapshot_date))
-    if snapshot_date is not None and lo == "trade_date":
+    if snapshot_date is not None and lo == day:
         refuse(manifest.where(~F.col("last").cast("string").eqNullSafe(F.lit(snapshot_date))), "the snapshot is not of the last day")
     rows.write.csv(f"{path}/rows", header=True, mode="overwrite")
     manifest.write.json(f"{path}/manifest", mode="overwrite")

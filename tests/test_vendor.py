@@ -71,6 +71,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "art/manifest")).select("n_rows", "first", "last").first() == (2, "2024-01-02", "2024-01-03")
     with pytest.raises(ValueError):
         vendor.write_artifact(rows, str(tmp_path / "art"), "2024-01-02")
+    vendor.write_artifact(rows.withColumnRenamed("trade_date", "date"), str(tmp_path / "bench"), "2024-01-03", day="date")
+    assert vendor.benchmark_summary(vendor.read_table(spark, str(tmp_path / "bench/rows")).withColumnRenamed("code", "close")).first()["rows"] == 2
     vendor.write_run(str(tmp_path / "run"), nav=rows, trades=rows.limit(0))
     assert spark.read.parquet(str(tmp_path / "run/trades")).columns == rows.columns
     picks = spark.createDataFrame([("2024-01-02", "2024-01-03", 1, "A", "a", 0.5, True, None)], "as_of_date string, entry_date string, rank int, stock_code string, stock_name string, predicted_score double, tradable_flag boolean, unavailable_reason string")
