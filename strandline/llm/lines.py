@@ -17,33 +17,63 @@ def line_hashes(text: Column) -> tuple[Column, Column]:
     return lines, F.transform(full, lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), x["i"].alias("i")))
 
 
+def selected_places(hashes: Column, run: int) -> Column:
+    """Winnowing: the places that windows of `run` lines select, each once: (k, fp, part).
+
+    A window selects the place of its least hash, the rightmost of equals. The windows that select a place follow on
+    each other; k is where the first of them begins, and part holds the hashes of all their lines, so it reaches from
+    the selected line up to run - 1 lines to both sides. Equal runs of `run` lines or more select alike, whatever is around them.
+    """
+    # Mixed, so that a very common line is no likelier to be the least.
+    order = F.transform(hashes, lambda y: F.xxhash64(y["h"], F.lit(3)))
+
+    def of(x: Column) -> Column:
+        def chosen(k: Column) -> Column:
+            part = F.slice(x["order"], k + 1, F.lit(run))
+            return k + run - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.size(x["order"]) - run), lambda k: F.struct(k.alias("k"), chosen(k).alias("p")))
+
+    def once(c: Column, x: Column) -> Column:
+        # c: (first window, number of windows) by selected place, in order.
+        return F.transform(c, lambda y: F.struct(y["k"].alias("k"), F.get(x["h"], y["p"]).alias("fp"), F.slice(x["h"], y["k"] + 1, y["n"] + run - 1).alias("part")))
+
+    def starts(w: Column) -> Column:
+        # Selected places never go back from one window to the next, so a place's windows are one stretch.
+        heads = F.filter(w, lambda y, i: (i == 0) | (F.get(w, i - 1)["p"] != y["p"]))
+        return F.transform(heads, lambda y, i: F.struct(y["k"].alias("k"), y["p"].alias("p"), (F.coalesce(F.get(heads, i + 1)["k"], F.size(w)) - y["k"]).alias("n")))
+
+    def one(value: Column, then) -> Column:
+        # Works a value out once and hands it on.
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    both = F.struct(F.transform(hashes, lambda y: y["h"]).alias("h"), order.alias("order"))
+    return one(both, lambda x: one(of(x), lambda w: one(starts(w), lambda c: once(c, x))))
+
+
 def repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text hash, places): full lines inside runs of `run` or more that occur earlier, by (id, text hash, place).
 
-    Each window of `run` lines selects its least line hash, the rightmost of equals, as its fingerprint: equal
-    windows select alike, so what repeats shares a fingerprint. Only windows whose fingerprint is found at two or more places
-    go on; they are grouped by their whole content on both sides of the fingerprint, and all but the earliest of a
-    group mark their lines, whose union is each match in full length. Groups give minima, never lists or pairs, so a
-    line in any share of documents makes no hot task.
+    Only the places that windows select are written, about two in run + 1 lines; what repeats over `run` lines shares one of
+    them for certain. Places whose line is selected at two or more places meet, and each is extended to both sides, over the
+    windows that select it; windows equal in the hashes of all their lines (64 bits each) match. All but the earliest of
+    equals mark their lines, and what neighbouring places mark unites to the match in full length. Groups give minima,
+    never lists or pairs, and are counted before they are moved, so a line in any share of documents makes no hot task.
     """
     lines, hashes = line_hashes(docs[text_col])
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), hashes.alias("x")).where(F.size("x") >= run).distinct()
-
-    def window(x: Column) -> Column:
-        def one(k: Column) -> Column:
-            part = F.slice(x, k + 1, F.lit(run))
-            # Mixed, so that a very common line is no likelier to be the least.
-            least = F.array_min(F.transform(part, lambda y: F.xxhash64(y["h"], F.lit(3))))
-            return F.struct(k.alias("k"), least.alias("fp"), F.xxhash64(*[F.get(part, F.lit(i))["h"] for i in range(run)]).alias("w"))
-
-        return F.transform(F.sequence(F.lit(0), F.size(x) - run), one)
-
-    windows = settle(rows.select("id", "th", F.explode(window(F.col("x"))).alias("s")).select("id", "th", "s.k", "s.fp", "s.w"), "line-windows")
-    often = windows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("_fp"))
-    meet = windows.join(often, windows["fp"] == often["_fp"]).drop("_fp")
+    places = settle(rows.select("id", "th", F.explode(selected_places(F.col("x"), run)).alias("s")).select("id", "th", "s.k", "s.fp", "s.part"), "line-places")
+    often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("_fp"))
+    meet = places.join(often, places["fp"] == often["_fp"]).select("id", "th", "k", "part")
+    key = [f"c{i}" for i in range(run)]
+    windows = meet.select("id", "th", F.col("k").alias("_k"), "part", F.explode(F.sequence(F.lit(0), F.size("part") - run)).alias("_j"))
+    windows = windows.select("id", "th", (F.col("_k") + F.col("_j")).alias("k"), *[F.get("part", F.col("_j") + i).alias(c) for i, c in enumerate(key)])
     place = F.struct("id", "th", "k")
-    first = meet.groupBy("fp", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("_fp"), F.col("w").alias("_w"), "first")
-    later = meet.join(first, (meet["fp"] == first["_fp"]) & (meet["w"] == first["_w"])).where(place > F.col("first"))
+    first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in key], "first")
+    same = windows[key[0]] == first[f"_{key[0]}"]
+    for c in key[1:]:
+        same = same & (windows[c] == first[f"_{c}"])
+    later = windows.join(first, same).where(place > F.col("first"))
     return later.groupBy("id", "th").agg(F.array_sort(F.collect_set("k")).alias("ks"))
 
 
