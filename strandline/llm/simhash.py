@@ -146,22 +146,28 @@ def first_rule(x: F.Column) -> F.Column:
     return rule
 
 
-def fingerprint_links(fps: DataFrame, most_bits: int = 4) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints `fp` that differ in at most most_bits (0 to 4) bits."""
+def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints `fp` that differ in at most most_bits (0 to 4) bits.
+
+    With `of`, an integer column from 0 to 32767, fingerprints are distinct and linked for each of its values by itself, and pairs carry it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         schema = pa.schema([("side", pa.int8()), ("k", pa.int64()), ("fp", pa.int64())])
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            # Keys take 44 bits; the bits from 48 on keep values of `of` apart.
+            apart = batch.column(of).to_numpy(zero_copy_only=False).astype(np.int64) << 48 if of else np.zeros(len(fp), dtype=np.int64)
             for side, row, key in key_rows(fp, golay):
-                yield to_batch({"side": np.full(len(row), side, dtype=np.int8), "k": key, "fp": fp[row]}, schema)
+                yield to_batch({"side": np.full(len(row), side, dtype=np.int8), "k": key | apart[row], "fp": fp[row]}, schema)
 
     keys = settle(fps.mapInArrow(run, "side byte, k long, fp long"), "golay")
     one = keys.where("side = 0").select("k", F.col("fp").alias("u"))
     two = keys.where("side = 1").select("k", F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
-    near = (F.col("u") < F.col("v")) & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40))
-    links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v"), "fingerprint-links")
+    near = (F.col("u") < F.col("v")) & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40).bitwiseAND(F.lit(255)))
+    apart = [F.shiftright(one["k"], 48).cast("int").alias(of)] if of else []
+    links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v", *apart), "fingerprint-links")
     release(keys)
     return links
 
@@ -224,15 +230,12 @@ def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
     return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(least, x), y)) / F.size(least))
 
 
-def alike_texts(texts: DataFrame, n_prints: int, most_bits: int, similarity: float, size: int) -> DataFrame:
+def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
     Texts of one fingerprint first meet the least of them, so a dense group falls into few components; one text of each
     goes on. Of those, fingerprints within most_bits meet through Golay keys. What meets is verified by sketch.
     """
-    def prints(of: DataFrame, k: int) -> DataFrame:
-        return of.groupBy(F.element_at("fps", k + 1).alias("fp")).agg(F.min("th").alias("rep"))
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
         return settle(pairs.where("u <> v").distinct().join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity).select("u", "v"), name)
@@ -242,16 +245,10 @@ def alike_texts(texts: DataFrame, n_prints: int, most_bits: int, similarity: flo
     equal = verified(fps.join(least, ["k", "fp"]).select(F.col("th").alias("u"), F.col("rep").alias("v")), "near-equal")
     known = settle(link_components(equal, "near-links").where("node <> label"), "near-known")
     left = settle(texts.join(known.select(F.col("node").alias("_node")), texts["th"] == F.col("_node"), "left_anti").select("th", "fps"), "near-left")
-    met = []
-    for k in range(n_prints):
-        own = settle(prints(left, k), "near-prints")
-        links = fingerprint_links(own.select("fp").repartition("fp"), most_bits)
-        one, two = (own.select(F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
-        met.append(settle(links.join(one, "u").join(two, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")), "near-met"))
-        release(own, links)
-    pairs = met[0]
-    for more in met[1:]:
-        pairs = pairs.union(more)
+    own = settle(left.select("th", F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp").agg(F.min("th").alias("rep")), "near-prints")
+    links = fingerprint_links(own.select("k", "fp").repartition("k", "fp"), most_bits, "k")
+    one, two = (own.select("k", F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
+    pairs = links.join(one, ["k", "u"]).join(two, ["k", "v"]).select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
     edges = verified(pairs, "near-pairs").union(known.select(F.col("node").alias("u"), F.col("label").alias("v")))
     return link_components(edges, "near-links")
 
@@ -278,7 +275,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     prints = settle(whole.mapInArrow(run, f"id {kind}, rid long, th long, fps array<long>, sk array<int>"), "near-texts")
     texts = settle(prints.groupBy("th").agg(F.first("fps").alias("fps"), F.first("sk").alias("sk")), "near-distinct")
-    label = settle(alike_texts(texts, n_prints, most_bits, similarity, size), "near-labels").withColumnRenamed("node", "_node")
+    label = settle(alike_texts(texts, most_bits, similarity, size), "near-labels").withColumnRenamed("node", "_node")
     rows = prints.join(label, prints["th"] == label["_node"], "left").select("id", "rid", F.coalesce("label", "th").alias("label"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     best = rows.groupBy("label").agg(F.min(first).alias("best")).select(F.col("best.rid").alias("_rid"))
