@@ -233,8 +233,8 @@ def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
 def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
-    Texts of one fingerprint first meet the least of them, so a dense group falls into few components; one text of each
-    goes on. Of those, fingerprints within most_bits meet through Golay keys. What meets is verified by sketch.
+    Texts of one fingerprint first meet the least of them, and only those that are not alike to a lesser one go on, so a
+    dense group leaves few. Of those, fingerprints within most_bits meet through Golay keys. What meets is verified by sketch.
     """
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
@@ -243,13 +243,12 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
     fps = texts.select("th", F.posexplode("fps").alias("k", "fp"))
     least = fps.groupBy("k", "fp").agg(F.min("th").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "fp", "rep")
     equal = verified(fps.join(least, ["k", "fp"]).select(F.col("th").alias("u"), F.col("rep").alias("v")), "near-equal")
-    known = settle(link_components(equal, "near-links").where("node <> label"), "near-known")
-    left = settle(texts.join(known.select(F.col("node").alias("_node")), texts["th"] == F.col("_node"), "left_anti").select("th", "fps"), "near-left")
+    left = texts.join(equal.select(F.col("u").alias("_u")), texts["th"] == F.col("_u"), "left_anti").select("th", "fps")
     own = settle(left.select("th", F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp").agg(F.min("th").alias("rep")), "near-prints")
     links = fingerprint_links(own.select("k", "fp").repartition("k", "fp"), most_bits, "k")
     one, two = (own.select("k", F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
     pairs = links.join(one, ["k", "u"]).join(two, ["k", "v"]).select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
-    edges = verified(pairs, "near-pairs").union(known.select(F.col("node").alias("u"), F.col("label").alias("v")))
+    edges = verified(pairs, "near-pairs").union(equal)
     return link_components(edges, "near-links")
 
 
