@@ -76,3 +76,10 @@ def equal_weight_returns(predictions: DataFrame, dense: DataFrame, k: int) -> Da
     """(datetime, ret, n): mean return of the day's k best, entered the day after and held one day."""
     moved = dense.select("datetime", "instrument", forward_return(F.col("close"), 1).alias("ret"))
     return top_names(predictions, k).join(moved, ["datetime", "instrument"]).groupBy("datetime").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n"))
+
+
+def signal_analysis(predictions: DataFrame, dense: DataFrame, k: int, lags: tuple[int, ...], entry: int = 1) -> DataFrame:
+    """(lag, days, mean_ic, turnover) of predictions: mean IC by lag, from prices `entry` days later, and the mean daily turnover of the k best names, the same in each row."""
+    daily = daily_ic(returns_by_lag(dense, lags, entry).join(predictions, ["datetime", "instrument"]), "lag", "datetime")
+    turned = turnover_summary(predictions, k).select(F.col("mean").alias("turnover"))
+    return ic_summary(daily, "lag").select("lag", "days", "mean_ic").crossJoin(F.broadcast(turned))

@@ -101,6 +101,17 @@ def top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.top_names(v.predictions(spark, sf_dir), 10).select("datetime", "instrument", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("signal_analysis", TOP + """, r as (select datetime, instrument, unnest([1, 2, 3]) as lag, unnest([lead(close, 1+1) over wi / lead(close, 1) over wi - 1, lead(close, 2+1) over wi / lead(close, 1) over wi - 1, lead(close, 3+1) over wi / lead(close, 1) over wi - 1]) as ret from dense window wi as (partition by instrument order by datetime)),
+j as (select r.lag, r.datetime, rank() over (partition by r.lag, r.datetime order by p.score) + (count(*) over (partition by r.lag, r.datetime, p.score) - 1) / 2.0 as x, rank() over (partition by r.lag, r.datetime order by r.ret) + (count(*) over (partition by r.lag, r.datetime, r.ret) - 1) / 2.0 as y from r join predictions p on p.datetime = r.datetime and p.instrument = r.instrument where r.ret is not null),
+daily as (select lag, datetime, case when count(*) >= 3 and var_pop(x) > 1e-9 and var_pop(y) > 1e-9 then covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) end as ic from j group by all),
+d as (select datetime, lag(datetime) over (order by datetime) as b from (select distinct datetime from top)),
+t as (select t.datetime, avg(case when o.instrument is null then 1.0 else 0.0 end) as turnover from top t join d on d.datetime = t.datetime left join top o on o.datetime = d.b and o.instrument = t.instrument where d.b is not null group by t.datetime)
+select lag, count(ic) as days, round(avg(ic), 6) as mean_ic, (select round(avg(turnover), 6) from t) as turnover from daily where ic is not null group by lag""")
+def signal_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signal.signal_analysis(v.predictions(spark, sf_dir), v.dense(spark, sf_dir), 10, (1, 2, 3))
+    return out.select("lag", "days", F.round("mean_ic", 6).alias("mean_ic"), F.round("turnover", 6).alias("turnover"))
+
+
 @query("name_turnover", TOP + """, d as (select datetime, lag(datetime) over (order by datetime) as b from (select distinct datetime from top))
 select t.datetime, round(avg(case when o.instrument is null then 1.0 else 0.0 end), 6) as turnover from top t join d on d.datetime = t.datetime left join top o on o.datetime = d.b and o.instrument = t.instrument where d.b is not null group by t.datetime""")
 def name_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
