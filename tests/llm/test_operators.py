@@ -336,6 +336,16 @@ def test_mixing(spark, small, odd):
     assert mixed.columns == odd.columns and mixed.count() == odd.count()
 
 
+def test_fingerprint_links_of_several_kinds(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 12)]
+    rows = {(int(k), x) for x in base for k in range(3)}
+    rows |= {(int(rng.integers(3)), x ^ sum(1 << int(b) for b in rng.choice(62, n, replace=False))) for x in base for n in (1, 2, 3, 4, 5)}
+    want = {(k, u, v) for k, u in rows for j, v in rows if k == j and u < v and bin((u ^ v) & ((1 << 64) - 1)).count("1") <= 3}
+    links = simhash.fingerprint_links(spark.createDataFrame(sorted(rows), "k int, fp long"), 3, "k")
+    assert Counter((r.k, r.u, r.v) for r in links.collect()) == Counter(want) and want
+
+
 def brute_lines(rows, run=3):
     seen, out = set(), {}
     for i, th, t in sorted({(i, th, t) for i, th, t in rows if i is not None and t is not None}):
