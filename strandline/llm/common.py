@@ -161,3 +161,10 @@ class RollingHash:
 
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(c).type) for c, x in columns.items()], schema=schema)
+
+
+def chunked(df: DataFrame, keys: Sequence[Column | str], size: Column, name: str, most: int = 16 << 20) -> DataFrame:
+    """df settled in ranges of the keys: the column _chunk numbers them in key order. A chunk has about `most` bytes by `size`; equal keys share one."""
+    n_bytes = df.agg(F.sum(size)).first()[0] or 0
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows_per_bucket(n_bytes, most))
+    return settle(df.repartitionByRange(n, *keys).withColumn("_chunk", F.spark_partition_id()), name)
