@@ -159,10 +159,3 @@ def exclusion_counts(stocks: DataFrame, excluded: DataFrame) -> DataFrame:
     """(industry, n_names, n_excluded) of industries with excluded names."""
     out = stocks.join(excluded.select("instrument", F.lit(1).alias("_x")).distinct(), "instrument", "left").groupBy("industry").agg(F.count(F.lit(1)).alias("n_names"), F.count("_x").alias("n_excluded"))
     return out.where("n_excluded > 0")
-
-
-def shifted_winners(panel: DataFrame, later: DataFrame, least_share: float) -> DataFrame:
-    """One row: how many (day, code) serve the same period when announcements are shifted, and OK, REFUSE or INCONCLUSIVE (nothing to compare)."""
-    both = panel.select("datetime", "code", "period").join(later.select("datetime", "code", F.col("period").alias("_p")), ["datetime", "code"], "full")
-    sums = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("period").eqNullSafe(F.col("_p"))).alias("n_same"))
-    return sums.withColumn("verdict", F.when(F.col("n") == 0, "INCONCLUSIVE").when(F.col("n_same") >= F.col("n") * least_share, "OK").otherwise("REFUSE"))

@@ -317,15 +317,6 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.exclusion_counts(stocks, stocks.where(number() % 6 == 0).select("instrument"))
 
 
-@query("shifted_winners", ST + """, late as (select c.datetime, r.code, max(r.period) as period from cal c join (select rec.code, rec.period, c2.datetime as available_from from rec join cal c1 on c1.datetime = rec.available_from join cal c2 on c2.idx = c1.idx + 2) r on r.available_from <= c.datetime group by 1, 2),
-f as (select s.period as a, l.period as b from served s full join late l on l.datetime = s.datetime and l.code = s.code) select count(*) as n, count(*) filter (a is not distinct from b) as n_same, case when count(*) = 0 then 'INCONCLUSIVE' when count(*) filter (a is not distinct from b) >= count(*) * 0.8 then 'OK' else 'REFUSE' end as verdict from f""")
-def shifted_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, d = record(spark, sf_dir), days(spark, sf_dir)
-    two = d.select(F.col("datetime").alias("_from"), F.lead("datetime", 2).over(Window.orderBy("datetime")).alias("_to"))
-    later = r.join(F.broadcast(two), r["available_from"] == two["_from"]).withColumn("available_from", F.col("_to")).drop("_from", "_to")
-    return statements.shifted_winners(statements.as_of_panel(r, d, "revenue"), statements.as_of_panel(later, d, "revenue"), 0.8)
-
-
 @query("net_scores", "select datetime, instrument, round(score - 0.003, 9) as net, cast(datetime + interval 3 month as date) as review from predictions")
 def net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.predictions(spark, sf_dir).select("datetime", "instrument", F.round(F.col("score") - F.lit(0.003), 9).alias("net"), F.add_months("datetime", 3).alias("review"))
