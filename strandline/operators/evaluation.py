@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.factors import TINY, safe_corr
+from strandline.functions.factors import TINY
+from strandline.operators import correlations
 from strandline.operators.signal import average_rank, daily_ic, ic_summary
 
 
@@ -52,12 +53,7 @@ def pooled_rank(rows: DataFrame, keys: tuple[str, ...], value: str, name: str, b
 
 def factor_correlation(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(a, b, n, corr): Spearman over all cells where both factors of a pair are there, ranked within these cells."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    cells = wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x is not null and y is not null")
-    ranked = pooled_rank(pooled_rank(cells, ("a", "b"), "x", "rx"), ("a", "b"), "y", "ry")
-    n = F.count(F.lit(1)).cast("double")
-    x, y = F.col("rx"), F.col("ry")
-    return ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(n, F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)).alias("corr"))
+    return correlations.spearman(wide, names)
 
 
 def factor_quality(factors: DataFrame, returns: DataFrame, least_std: float = TINY, most_abs: float = 10.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.factors import safe_corr
+from strandline.operators import correlations
 from strandline.operators.evaluation import factor_quality
 from strandline.operators.signal import daily_ic, returns_by_lag
 
@@ -62,10 +62,7 @@ def scored(bundles: DataFrame, size: Column, likeness: Column, baseline: Column,
 
 def pair_correlations(wide: DataFrame, names: tuple[str, ...], least: int = 3) -> DataFrame:
     """(a, b, n, corr): Pearson over the cells where both are finite; NULL under `least` of them or where one is flat."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    cells = wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("abs(x) < double('infinity') and abs(y) < double('infinity')")
-    n = F.count(F.lit(1))
-    return cells.groupBy("a", "b").agg(n.alias("n"), F.when(n >= least, F.corr("x", "y")).alias("corr"))
+    return correlations.pearson(wide, names, least)
 
 
 def likeness(pairs: DataFrame) -> DataFrame:

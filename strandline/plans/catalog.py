@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import fold_queries, ingest_queries, portfolio_queries, queries, selection_queries, served_queries, signal_queries, statement_queries, universe_queries  # noqa: F401
+from strandline.plans import fold_queries, ingest_queries, mined_queries, portfolio_queries, queries, selection_queries, served_queries, signal_queries, statement_queries, universe_queries  # noqa: F401
 from strandline.plans.registry import FOUND, SQL, Query
 
 

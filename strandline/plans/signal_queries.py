@@ -50,7 +50,7 @@ def factor_t_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as x, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as y from p where x is not null and y is not null)
 select a, b, count(*) as n, round(corr(x, y), 4) as corr from r group by a, b""")
 def factor_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = v.dense(spark, sf_dir).select(*[c.cast("double").alias(n) for n, c in columns().items()])
+    wide = v.dense(spark, sf_dir).select("datetime", "instrument", *[c.cast("double").alias(n) for n, c in columns().items()])
     return rounded(evaluation.factor_correlation(wide, ("reversal", "volume", "spread")), "corr", places=4)
 
 
