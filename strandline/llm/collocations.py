@@ -43,11 +43,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     ends[off[full + 1] - 1] = inside[off[full + 1] - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     breaks = np.flatnonzero(kind == 2)
-    piece = np.searchsorted(breaks, first) + np.searchsorted(off, first, side="right")
+    piece = (np.searchsorted(breaks, first) + np.searchsorted(off, first, side="right")).astype(np.int32)
     lengths = np.zeros(len(first) + 1, dtype=np.int32)
     np.cumsum(last - first, out=lengths[1:])
     coded = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(lengths), pa.py_buffer(LOWER[data[inside]])]).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), piece, coded.dictionary
+    return coded.indices.to_numpy(), piece, coded.dictionary
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
@@ -102,7 +102,7 @@ def gram_counts(docs: DataFrame, orders: tuple[int, ...], known=None) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 4 << 20):
                 langs = batch.column("lang")
                 for lang in pc.unique(langs).to_pylist():
                     codes, piece, words = words_of(batch.column("text").filter(pc.equal(langs, lang)))
@@ -131,7 +131,7 @@ def gram_counts(docs: DataFrame, orders: tuple[int, ...], known=None) -> DataFra
                     ok = ok & fine[k : k + starts]
             at = np.flatnonzero(ok)
             # Ranks of n-grams grow by a word at a time, so that a pair of rank and word stays a 64-bit number.
-            rank, parts = codes[at], None
+            rank, parts = codes[at].astype(np.int64), None
             f = np.bincount(rank, minlength=n_words) if n == 1 else None
             if n == 1:
                 found = np.flatnonzero(f)
