@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.codes import ceil9, floor9
-from strandline.operators import compare, portfolio
+from strandline.operators import compare, portfolio, stamps
 
 
 def attribution_totals(effects: DataFrame, returns: DataFrame, bench: DataFrame) -> DataFrame:
@@ -91,17 +91,25 @@ def net_excess(returns: DataFrame, bench: DataFrame, draws: int, seed: int) -> D
     return out.withColumn("state", F.when(F.col("lo") > 0, "positive").when(F.col("hi") < 0, "negative").otherwise("undecided"))
 
 
-def sliced_bootstrap(a: DataFrame, b: DataFrame, slices: Mapping[str, Sequence[tuple[str, str]]], draws: int, seed: int) -> DataFrame:
-    """A row for each named set of slices: the paired bootstrap without the days of its slices. Slices are a few given ranges."""
+def sliced_bootstrap(a: DataFrame, b: DataFrame, slices: Mapping[str, Sequence[tuple[str, str]]], draws: int, seed: int, least_days: int = stamps.LEAST_DAYS, least_share: float = stamps.LEAST_SHARE) -> DataFrame:
+    """A row for each named set of slices: the paired bootstrap without the days of its slices; a set without slices is the full comparison.
+
+    A set that removes no shared day, leaves under least_days of them or under least_share of the shorter run is an error, as is
+    a verdict on an interval too narrow to mean anything. Slices are a few given ranges."""
+    spark = a.sparkSession
+    given = [(name, lo, hi) for name, ranges in slices.items() for lo, hi in ranges]
+    table = spark.createDataFrame(given, "slices string, start string, end string").select("slices", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    own = {k: r.where("ret is not null") for k, r in (("a", a), ("b", b))}
+    if bad := stamps.slice_checks(own["a"], own["b"], table, least_days, least_share).where("fault is not null").collect():
+        raise ValueError("; ".join(f"{r['slices']}: {r['fault']}" for r in bad))
     out = None
-    for name, ranges in slices.items():
-        inside = F.lit(False)
-        for lo, hi in ranges:
-            inside = inside | F.col("datetime").between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi)))
-        series = compare.paired(a.where(~inside), b.where(~inside))
+    for name in slices:
+        removed = table.where(F.col("slices") == name)
+        series = compare.paired(stamps.outside(a, removed), stamps.outside(b, removed))
         one = compare.verdict(compare.block_bootstrap(series, compare.block_length(series), draws, seed)).withColumn("slices", F.lit(name))
         out = one if out is None else out.union(one)
-    return out
+    narrow = (F.col("verdict") != "undecided") & (F.col("hi") - F.col("lo") <= 1e-6)
+    return out.withColumn("verdict", F.when(narrow, F.raise_error(F.concat(F.lit("an interval without width decides: "), F.col("slices"))).cast("string")).otherwise(F.col("verdict")))
 
 
 def daily_list(scores: DataFrame, blocked: DataFrame, risk_names: DataFrame, k: int) -> DataFrame:

@@ -41,7 +41,11 @@ def from_first_day(dense: DataFrame, column: str = "close") -> DataFrame:
 
 def build_panel(bars: DataFrame, factors: DataFrame, basics: DataFrame | None, registry: DataFrame, fields: Sequence[str], *order: str) -> DataFrame:
     """The whole market's panel: the first bar of each day and name in units and adjusted, basics joined, clipped at
-    delisting, aligned to the calendar of all bars from each name's first day. factors: (datetime, instrument, adj_factor)."""
+    delisting, aligned to the calendar of all bars from each name's first day. factors: (datetime, instrument, adj_factor).
+    order: columns by which the first of repeated bars is told, by default source_order as vendor.read_bars has it."""
+    order = order or tuple(c for c in bars.columns if c == "source_order")
+    if not order:
+        raise ValueError("name the columns that order repeated bars")
     own = in_units(first_of_each(bars, ("instrument", "datetime"), *order)).drop(*order)
     days = panel.calendar(own)
     whole = panel.densify(with_basics(own, basics, fields), days)

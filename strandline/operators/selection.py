@@ -176,20 +176,45 @@ def stability(folds: DataFrame) -> DataFrame:
     return out.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), parts)))
 
 
-def family_draws(trials: DataFrame, draws: int, seed: int, block: int = 4) -> DataFrame:
-    """(b, max_t): the largest t of all trials in each circular block draw, trials demeaned and drawn alike.
+def counter_draws(trials: DataFrame, counters: DataFrame, seed: int, block: int = 4) -> DataFrame:
+    """(c, max_t): for each counter c the largest t of all trials in one circular block draw, trials demeaned and drawn alike; NULL where a trial has under two values or does not vary.
 
-    trials: (trial, pos, x), pos numbered from 0. Draw b's block j starts at the first 32 bits of md5('seed:b:j') modulo
-    the number of positions. A draw in which a trial has under two values or does not vary has NULL and is left out of the bar."""
+    trials: (trial, pos, x), pos numbered from 0. Counter c's block j starts at the first 32 bits of md5('seed:c:j') modulo the number of positions."""
     means = trials.groupBy("trial").agg(F.avg("x").alias("_m"))
     flat = trials.join(F.broadcast(means), "trial").select("trial", F.col("pos").alias("_p"), (F.col("x") - F.col("_m")).alias("x"))
     span = trials.agg((F.max("pos") + 1).alias("m"), F.countDistinct("trial").alias("k"))
-    at = trials.sparkSession.range(draws).select(F.col("id").alias("b")).join(F.broadcast(span), how="cross").select("b", "m", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
-    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.floor(F.col("i") / block).cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = at.select("b", "k", F.pmod(start + F.col("i") % block, F.col("m")).alias("_at"))
+    at = counters.join(F.broadcast(span), how="cross").select("c", "m", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("c").cast("string"), F.floor(F.col("i") / block).cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = at.select("c", "k", F.pmod(start + F.col("i") % block, F.col("m")).alias("_at"))
     sd, n = F.stddev_samp("x"), F.count("x")
-    each = drawn.join(F.broadcast(flat), F.col("_at") == F.col("_p")).groupBy("b", "k", "trial").agg(F.when((n >= 2) & (sd >= 1e-12), F.avg("x") / (sd / F.sqrt(n))).alias("t"))
-    return each.groupBy("b", "k").agg(F.max("t").alias("t"), F.count("t").alias("_n")).select("b", F.when(F.col("_n") == F.col("k"), F.col("t")).alias("max_t"))
+    each = drawn.join(flat, F.col("_at") == F.col("_p")).groupBy("c", "k", "trial").agg(F.when((n >= 2) & (sd >= 1e-12), F.avg("x") / (sd / F.sqrt(n))).alias("t"))
+    return each.groupBy("c", "k").agg(F.max("t").alias("t"), F.count("t").alias("_n")).select("c", F.when(F.col("_n") == F.col("k"), F.col("t")).alias("max_t"))
+
+
+def family_draws(trials: DataFrame, draws: int, seed: int, block: int = 4, most_redraws: int = 10) -> DataFrame:
+    """(b, max_t): `draws` valid draws of a family's largest t, numbered from 0.
+
+    A draw in which a trial is degenerate is drawn anew: the valid draws are those of the first counters 0, 1, 2, ... that are
+    valid, so any engine has the same. Counters are tried in batches, each as large as what is still missing at the share
+    of valid ones so far. Beyond most_redraws invalid counters a draw the family is too sparse, an error. The drawn
+    numbers, `draws` at most, are kept by the plan as rows."""
+    spark = trials.sparkSession
+    found: list[float] = []
+    tried = invalid = 0
+    while len(found) < draws:
+        missing = draws - len(found)
+        size = missing if not tried else min(int(missing * tried / max(1, len(found)) * 1.1) + 8, draws * (most_redraws + 1) + 1 - tried)
+        rows = counter_draws(trials, spark.range(tried, tried + size).withColumnRenamed("id", "c"), seed, block).where("max_t is not null").toArrow().sort_by("c")
+        before = tried
+        for c, t in zip(rows.column("c").to_pylist(), rows.column("max_t").to_pylist(), strict=True):
+            if len(found) < draws:
+                found.append(t)
+                before = c + 1
+        tried += size
+        invalid = (before if len(found) == draws else tried) - len(found)
+        if invalid > draws * most_redraws:
+            raise ValueError(f"{invalid} invalid draws for {len(found)} valid ones: a trial is too sparse or does not vary")
+    return spark.createDataFrame(list(enumerate(found)), "b long, max_t double")
 
 
 def adjudicated(trials: DataFrame, draws: DataFrame, quantile: float = 0.95, floor: float = 2.85) -> DataFrame:

@@ -32,10 +32,10 @@ def daily_ic(rows: DataFrame, *keys: str, method: str = "rank", least: int = 3)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, ic).alias("ic"))
 
 
-def signal_summary(daily: DataFrame, least: int = 10) -> DataFrame:
-    """One row: ic_summary of a signal, all but the days NULL under `least` days with an IC."""
-    out = ic_summary(daily)
-    return out.select("days", *[F.when(F.col("days") >= least, F.col(c)).alias(c) for c in out.columns if c != "days"])
+def signal_summary(daily: DataFrame, *keys: str, least: int = 10) -> DataFrame:
+    """ic_summary of a signal, all but the days NULL under `least` days with an IC; per keys, or one row."""
+    out = ic_summary(daily, *keys)
+    return out.select(*keys, "days", *[F.when(F.col("days") >= least, F.col(c)).alias(c) for c in out.columns if c not in ("days", *keys)])
 
 
 def ic_summary(daily: DataFrame, *keys: str) -> DataFrame:
@@ -78,8 +78,9 @@ def equal_weight_returns(predictions: DataFrame, dense: DataFrame, k: int) -> Da
     return top_names(predictions, k).join(moved, ["datetime", "instrument"]).groupBy("datetime").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n"))
 
 
-def signal_analysis(predictions: DataFrame, dense: DataFrame, k: int, lags: tuple[int, ...], entry: int = 1) -> DataFrame:
-    """(lag, days, mean_ic, turnover) of predictions: mean IC by lag, from prices `entry` days later, and the mean daily turnover of the k best names, the same in each row."""
+def signal_analysis(predictions: DataFrame, dense: DataFrame, k: int, lags: tuple[int, ...], entry: int = 1, least: int = 10) -> DataFrame:
+    """(lag, days, mean_ic, std_ic, ir, positive, turnover, turnover_std) of predictions: the IC by lag, from prices `entry` days later,
+    NULL under `least` days, and the daily turnover of the k best names with its deviation, the same in each row."""
     daily = daily_ic(returns_by_lag(dense, lags, entry).join(predictions, ["datetime", "instrument"]), "lag", "datetime")
-    turned = turnover_summary(predictions, k).select(F.col("mean").alias("turnover"))
-    return ic_summary(daily, "lag").select("lag", "days", "mean_ic").crossJoin(F.broadcast(turned))
+    turned = turnover_summary(predictions, k).select(F.col("mean").alias("turnover"), F.col("std").alias("turnover_std"))
+    return signal_summary(daily, "lag", least=least).crossJoin(F.broadcast(turned))

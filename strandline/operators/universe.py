@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import stamps
 from strandline.operators.panel import members_at
 
 
@@ -60,9 +61,8 @@ def tail_months(rows: DataFrame, months: int) -> DataFrame:
 
 
 def without_slices(rows: DataFrame, slices: DataFrame) -> DataFrame:
-    """rows outside all slices (start, end), both ends included."""
-    s = slices.select(F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return rows.join(F.broadcast(s), F.col("datetime").between(F.col("_s"), F.col("_e")), "left_anti")
+    """rows outside all slices (start, end), both ends included. Overlapping slices are merged and rows meet their dates by equality."""
+    return stamps.outside(rows, slices)
 
 
 def sizes_as_of(sizes: DataFrame, at: DataFrame, days: DataFrame, most_sessions: int = 21) -> DataFrame:

@@ -106,10 +106,22 @@ j as (select r.lag, r.datetime, rank() over (partition by r.lag, r.datetime orde
 daily as (select lag, datetime, case when count(*) >= 3 and var_pop(x) > 1e-9 and var_pop(y) > 1e-9 then covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) end as ic from j group by all),
 d as (select datetime, lag(datetime) over (order by datetime) as b from (select distinct datetime from top)),
 t as (select t.datetime, avg(case when o.instrument is null then 1.0 else 0.0 end) as turnover from top t join d on d.datetime = t.datetime left join top o on o.datetime = d.b and o.instrument = t.instrument where d.b is not null group by t.datetime)
-select lag, count(ic) as days, round(avg(ic), 6) as mean_ic, (select round(avg(turnover), 6) from t) as turnover from daily where ic is not null group by lag""")
+select lag, count(ic) as days, case when count(ic) >= 10 then round(avg(ic), 6) end as mean_ic, case when count(ic) >= 10 then round(stddev_samp(ic), 6) end as std_ic, case when count(ic) >= 10 then round(avg(ic) / stddev_samp(ic), 6) end as ir, case when count(ic) >= 10 then round(avg(case when ic > 1e-12 then 1.0 else 0.0 end), 6) end as positive,
+(select round(avg(turnover), 6) from t) as turnover, (select round(stddev_pop(turnover), 6) from t) as turnover_std from daily where ic is not null group by lag""")
 def signal_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signal.signal_analysis(v.predictions(spark, sf_dir), v.dense(spark, sf_dir), 10, (1, 2, 3))
-    return out.select("lag", "days", F.round("mean_ic", 6).alias("mean_ic"), F.round("turnover", 6).alias("turnover"))
+    return out.select("lag", "days", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("lag", "days")])
+
+
+@query("short_signal_analysis", """+ few as (select * from predictions where datetime in (select datetime from cal where idx % 40 = 3)), r as (select datetime, instrument, unnest([1, 20]) as lag, unnest([lead(close, 2) over wi / lead(close, 1) over wi - 1, lead(close, 21) over wi / lead(close, 1) over wi - 1]) as ret from dense window wi as (partition by instrument order by datetime)),
+j as (select r.lag, r.datetime, rank() over (partition by r.lag, r.datetime order by p.score) + (count(*) over (partition by r.lag, r.datetime, p.score) - 1) / 2.0 as x, rank() over (partition by r.lag, r.datetime order by r.ret) + (count(*) over (partition by r.lag, r.datetime, r.ret) - 1) / 2.0 as y from r join few p on p.datetime = r.datetime and p.instrument = r.instrument where r.ret is not null),
+daily as (select lag, datetime, case when count(*) >= 3 and var_pop(x) > 1e-9 and var_pop(y) > 1e-9 then covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) end as ic from j group by all)
+select lag, count(ic) as days, cast(null as double) as mean_ic, cast(null as double) as ir from daily where ic is not null group by lag having count(ic) < 10""")
+def short_signal_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal of so few days that nothing but their number is told."""
+    dense = v.dense(spark, sf_dir)
+    few = v.predictions(spark, sf_dir).join(F.broadcast(dense.where("idx % 40 = 3").select("datetime").distinct()), "datetime")
+    return signal.signal_analysis(few, dense, 10, (1, 20)).select("lag", "days", "mean_ic", "ir")
 
 
 @query("name_turnover", TOP + """, d as (select datetime, lag(datetime) over (order by datetime) as b from (select distinct datetime from top))

@@ -15,11 +15,13 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
-    """Register a query with its SQL, which may use the test views; SQL that begins with + adds views of its own."""
+    """Register a query with its SQL, which may use the test views; SQL that begins with + adds views of its own, with "+ recursive" ones that may refer to themselves."""
+    own = sql.lstrip().removeprefix("+").lstrip()
+    kind = "recursive " if own.startswith("recursive ") else ""
 
     def add(of: Query) -> Query:
         FOUND[name] = of
-        SQL[name] = f"with {v.SQL}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
+        SQL[name] = f"with {kind}{v.SQL}{',' if sql.lstrip().startswith('+') else ''} {own.removeprefix(kind)}"
         return of
 
     return add

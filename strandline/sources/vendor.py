@@ -38,25 +38,38 @@ def _yearly(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}/*/*.parquet")
 
 
+#: Where a row stands in its table: the path of its file (<table>/<year>/...), then its place there. The first of repeated rows is the one to keep.
+SOURCE_ORDER = "source_order"
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    return raw.withColumn(SOURCE_ORDER, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def read_bars(spark: SparkSession, root: str) -> DataFrame:
-    """(datetime, instrument, open, high, low, close, volume, money) of the whole market, in vendor units. Repeated days are kept, for build_panel to settle."""
-    raw = require(_yearly(spark, root, "daily"), ("ts_code", "trade_date", "open", "high", "low", "close", "vol", "amount"), "daily")
-    return raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), *[F.col(c).cast("double") for c in ("open", "high", "low", "close")], F.col("vol").cast("double").alias("volume"), F.col("amount").cast("double").alias("money"))
+    """(datetime, instrument, open, high, low, close, volume, money, source_order) of the whole market, in vendor units. Repeated days are kept, for build_panel to settle by source_order."""
+    raw = _placed(require(_yearly(spark, root, "daily"), ("ts_code", "trade_date", "open", "high", "low", "close", "vol", "amount"), "daily"))
+    return raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), *[F.col(c).cast("double") for c in ("open", "high", "low", "close")], F.col("vol").cast("double").alias("volume"), F.col("amount").cast("double").alias("money"), SOURCE_ORDER)
+
+
+def _first_of_days(rows: DataFrame, fields: Sequence[Column]) -> DataFrame:
+    """The fields of the first row of each day and name, NULL where that row has them so."""
+    return rows.groupBy("datetime", "instrument").agg(F.min_by(F.struct(*fields), SOURCE_ORDER).alias("x")).select("datetime", "instrument", "x.*")
 
 
 def read_factors(spark: SparkSession, root: str) -> DataFrame:
-    """(datetime, instrument, adj_factor), one row of each day and name."""
-    raw = require(_yearly(spark, root, "adj_factor"), ("ts_code", "trade_date", "adj_factor"), "adj_factor")
-    rows = raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), F.col("adj_factor").cast("double"))
-    return rows.groupBy("datetime", "instrument").agg(F.min("adj_factor").alias("adj_factor"))
+    """(datetime, instrument, adj_factor), of repeated days the first."""
+    raw = _placed(require(_yearly(spark, root, "adj_factor"), ("ts_code", "trade_date", "adj_factor"), "adj_factor"))
+    rows = raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), F.col("adj_factor").cast("double"), SOURCE_ORDER)
+    return _first_of_days(rows, [F.col("adj_factor")])
 
 
 def read_basics(spark: SparkSession, root: str) -> DataFrame:
-    """(datetime, instrument, BASICS), one row of each day and name; a field that the table has not is NULL."""
-    raw = require(_yearly(spark, root, "daily_basic"), ("ts_code", "trade_date"), "daily_basic", rows=False)
+    """(datetime, instrument, BASICS), of repeated days the first; a field that the table has not is NULL."""
+    raw = _placed(require(_yearly(spark, root, "daily_basic"), ("ts_code", "trade_date"), "daily_basic", rows=False))
     fields = [(F.col(c) if c in raw.columns else F.lit(None)).cast("double").alias(c) for c in BASICS]
-    rows = raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), F.struct(*fields).alias("x"))
-    return rows.groupBy("datetime", "instrument").agg(F.min("x").alias("x")).select("datetime", "instrument", "x.*")
+    rows = raw.select(_day("trade_date").alias("datetime"), to_prefixed(F.col("ts_code")).alias("instrument"), *fields, SOURCE_ORDER)
+    return _first_of_days(rows, [F.col(c) for c in BASICS])
 
 
 def read_listed(spark: SparkSession, path: str, delisted: bool) -> DataFrame:

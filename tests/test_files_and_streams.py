@@ -2,6 +2,8 @@
 
 import json
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def test_journal_without_replays(spark, tmp_path):
 
 def test_statement_and_year_sinks(spark, tmp_path):
     one = spark.sql("select 'A' as code, date'2024-03-31' as period, 0 as update_flag, 'b1' as batch, 1.0D as revenue")
-    one.write.parquet(str(tmp_path / "store/batch_no=-1"))
+    one.withColumn("bucket", streams.bucket_of()).write.partitionBy("bucket").parquet(str(tmp_path / "store/batch_no=-1"))
     one.union(spark.sql("select 'B', date'2024-03-31', 0, 'b2', 2.0D")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(one.schema).parquet(str(tmp_path / "in"))
     streams.statement_sink(stream, str(tmp_path / "store"), lambda: codes.content_hash("period", "revenue")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
@@ -111,3 +113,46 @@ def test_statement_and_year_sinks(spark, tmp_path):
     streams.year_sink(stream, str(tmp_path / "bars")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
     got = streams.current_years(spark.read.parquet(str(tmp_path / "bars")))
     assert sorted((str(r.datetime), r.close) for r in got.collect()) == [("2023-01-02", 1.0), ("2024-01-02", 9.0)]
+
+
+def test_statement_sink_reads_touched_buckets_and_settles_a_batch(spark, tmp_path):
+    schema = "code string, period date, update_flag int, batch string, revenue double"
+    day = datetime.date(2024, 3, 31)
+    spark.createDataFrame([(c, day, 0, "b1", 1.0) for c in "ABC"], schema).withColumn("bucket", streams.bucket_of()).write.partitionBy("bucket").parquet(str(tmp_path / "s/batch_no=-1"))
+    spark.createDataFrame([("A", day, 0, "b3", 1.0), ("A", day, 0, "b2", 7.0), ("D", day, 0, "b2", 4.0), ("D", day, 0, "b3", 5.0)], schema).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # again from the start, as after a lost checkpoint
+        sink = streams.statement_sink(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "s"), lambda: codes.content_hash("period", "revenue"))
+        sink.option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start().awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "s")).where("batch_no >= 0").collect()
+    assert [(r.code, r.batch, r.revenue) for r in rows] == [("D", "b3", 5.0)]
+
+
+def test_year_sink_takes_the_last_of_a_batch_and_compacts(spark, tmp_path):
+    schema = "datetime date, instrument string, close double, seen int"
+
+    def bar(year, close, seen):
+        return (datetime.date(year, 1, 2), "A", close, seen)
+
+    store = str(tmp_path / "bars")
+    spark.createDataFrame([bar(2023, 1.0, 0), bar(2024, 1.0, 0)], schema).withColumn("year", F.year("datetime")).write.partitionBy("year").parquet(f"{store}/batch_no=-1")
+
+    def run(rows, where):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streams.year_sink(stream, store, "seen").option("checkpointLocation", str(tmp_path / where)).trigger(availableNow=True).start().awaitTermination(120)
+        return {r.datetime.year: r.close for r in streams.current_years(spark.read.parquet(store)).collect()}
+
+    assert run([bar(2024, 5.0, 3), bar(2024, 4.0, 2), bar(2024, 9.0, 1)], "c") == {2023: 1.0, 2024: 5.0}
+    assert run([bar(2024, 6.0, 4)], "c") == {2023: 1.0, 2024: 6.0}
+    assert run([bar(2024, 7.0, 5), bar(2025, 2.0, 5)], "c") == {2023: 1.0, 2024: 7.0, 2025: 2.0}
+    versions = sorted(p.name for p in (tmp_path / "bars").glob("batch_no=*/year=2024"))
+    assert len(versions) == 2 and (tmp_path / "bars/batch_no=-1/year=2023").exists()
+    # A restart that runs the last batch again finds it written and leaves it.
+    (tmp_path / "c/commits/2").unlink()
+    (tmp_path / "c/commits/.2.crc").unlink(missing_ok=True)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars").glob("batch_no=2/year=*/*.parquet")}
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    streams.year_sink(stream, store, "seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert before and {p: p.stat().st_mtime_ns for p in (tmp_path / "bars").glob("batch_no=2/year=*/*.parquet")} == before
+    with pytest.raises(ValueError):
+        streams.compact_years(spark, store, 0)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import folds, panel, schedule
+from strandline.operators import folds, ingest, panel, schedule
 from strandline.sources import vendor
 
 
@@ -27,6 +27,24 @@ def test_bars_factors_and_basics_of_all_years(spark, tmp_path):
     assert [(r.pe, r.pb) for r in basics] == [(9.0, None)] * 2
 
 
+def test_panel_from_files_keeps_the_first_of_repeated_days(spark, tmp_path):
+    bar = "ts_code string, trade_date string, open double, high double, low double, close double, vol double, amount double"
+    def put(table, year, name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{table}/{year}/{name}.parquet"))
+
+    put("daily", "2023", "a", [("600000.SH", "20230103", 1.0, 2.0, 0.5, 1.5, 10.0, 3.0), ("600000.SH", "20230103", 9.0, 9.0, 9.0, 9.0, 9.0, 9.0)], bar)
+    put("daily", "2024", "a", [("600000.SH", "20240102", 1.0, 2.0, 0.5, 2.5, 20.0, 4.0), ("600000.SH", "20230103", 7.0, 7.0, 7.0, 7.0, 7.0, 7.0)], bar)
+    put("adj_factor", "2023", "a", [("600000.SH", "20230103", 4.0), ("600000.SH", "20230103", 1.0)], "ts_code string, trade_date string, adj_factor double")
+    put("daily_basic", "2023", "a", [("600000.SH", "20230103", None), ("600000.SH", "20230103", 5.0)], "ts_code string, trade_date string, pe double")
+    bars, factors, basics = vendor.read_bars(spark, str(tmp_path)), vendor.read_factors(spark, str(tmp_path)), vendor.read_basics(spark, str(tmp_path))
+    assert [r.adj_factor for r in factors.collect()] == [4.0] and [r.pe for r in basics.collect()] == [None]
+    none = spark.createDataFrame([], "instrument string, delist_date date")
+    got = ingest.build_panel(bars, factors, basics, none, ("pe",)).orderBy("datetime").collect()
+    assert [(str(r.datetime), r.close, r.volume, r.money) for r in got] == [("2023-01-03", 6.0, 1000.0, 3000.0), ("2024-01-02", 10.0, 2000.0, 4000.0)]
+    with pytest.raises(ValueError):
+        ingest.build_panel(bars.drop("source_order"), factors, basics, none, ("pe",))
+
+
 def test_lists_refuse_missing_columns_and_no_rows(spark, tmp_path):
     rows = spark.createDataFrame([("600000.SH", "n", "20000101", "20240105")], "ts_code string, name string, list_date string, delist_date string")
     rows.write.parquet(str(tmp_path / "gone"))
