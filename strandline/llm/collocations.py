@@ -108,6 +108,7 @@ def gram_counts(docs: DataFrame, orders: tuple[int, ...], known=None) -> DataFra
                     codes, piece, words = words_of(batch.column("text").filter(pc.equal(langs, lang)))
                     if len(codes):
                         yield from counted(codes, piece, words, lang)
+                pa.default_memory_pool().release_unused()
 
     def counted(codes: np.ndarray, piece: np.ndarray, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
         n_words = len(words)

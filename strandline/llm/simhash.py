@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -146,43 +146,88 @@ def first_rule(x: F.Column) -> F.Column:
     return rule
 
 
-def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None) -> DataFrame:
+def not_joined() -> F.Column:
+    """Whether two rows with `known` of fingerprint_links may still need a link: not if both have one and the same."""
+    return ~F.coalesce(F.col("known_u") == F.col("known_v"), F.lit(False))
+
+
+def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None, extra: Sequence[str] = (), keep: F.Column | None = None) -> DataFrame:
     """Pairs (u, v), u < v, of distinct fingerprints `fp` that differ in at most most_bits (0 to 4) bits.
 
     With `of`, an integer column from 0 to 32767, fingerprints are distinct and linked for each of its values by itself, and pairs carry it.
+    Columns `extra` stand beside both sides as <name>_u and <name>_v for `keep`, a condition on pairs that is part of
+    the join, so pairs that are known to be joined already or to fail are never made. Null fingerprints meet nothing.
     """
+    types = {c: fps.schema[c].dataType.simpleString() for c in extra}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
-        schema = pa.schema([("side", pa.int8()), ("k", pa.int64()), ("fp", pa.int64())])
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            schema = pa.schema([("side", pa.int8()), ("k", pa.int64()), ("fp", pa.int64()), *(batch.schema.field(c) for c in extra)])
             # Keys take 44 bits; the bits from 48 on keep values of `of` apart.
             apart = batch.column(of).to_numpy(zero_copy_only=False).astype(np.int64) << 48 if of else np.zeros(len(fp), dtype=np.int64)
             for side, row, key in key_rows(fp, golay):
-                yield to_batch({"side": np.full(len(row), side, dtype=np.int8), "k": key | apart[row], "fp": fp[row]}, schema)
+                yield to_batch({"side": np.full(len(row), side, dtype=np.int8), "k": key | apart[row], "fp": fp[row]} | {c: batch.column(c).take(pa.array(row)) for c in extra}, schema)
 
-    keys = settle(fps.mapInArrow(run, "side byte, k long, fp long"), "golay")
-    one = keys.where("side = 0").select("k", F.col("fp").alias("u"))
-    two = keys.where("side = 1").select("k", F.col("fp").alias("v"))
+    keys = settle(fps.where("fp is not null").mapInArrow(run, "side byte, k long, fp long" + "".join(f", {c} {t}" for c, t in types.items())), "golay")
+    one = keys.where("side = 0").select("k", F.col("fp").alias("u"), *[F.col(c).alias(f"{c}_u") for c in extra])
+    two = keys.where("side = 1").select("k", F.col("fp").alias("v"), *[F.col(c).alias(f"{c}_v") for c in extra])
     x = F.col("u").bitwiseXOR(F.col("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40).bitwiseAND(F.lit(255)))
+    if keep is not None:
+        near = near & keep
     apart = [F.shiftright(one["k"], 48).cast("int").alias(of)] if of else []
     links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v", *apart), "fingerprint-links")
     release(keys)
     return links
 
 
+def coarse_cells(rows: DataFrame, node: str, of: str | None = None) -> DataFrame:
+    """(cell, node): the coarse cells of each row (node, a long; fp; and `of` as in fingerprint_links), three for a fingerprint.
+
+    A cell holds the fingerprints of which two parts have the same nearest codewords; those of a dense group mostly share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
+        for batch in batches:
+            u = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            own = batch.column("node").to_numpy(zero_copy_only=False)
+            apart = batch.column(of).to_numpy(zero_copy_only=False).astype(np.int64) << 48 if of else np.zeros(len(u), dtype=np.int64)
+            near = [golay.nearest(((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64)) for lo, n in PARTS]
+            for kind, (i, j) in enumerate(combinations(range(3), 2)):
+                yield to_batch({"cell": apart | kind << 24 | near[i] << 12 | near[j], "node": own}, schema)
+
+    return rows.select(F.col(node).alias("node"), "fp", *([of] if of else [])).mapInArrow(run, "cell long, node long")
+
+
+def star_pairs(cells: DataFrame) -> DataFrame:
+    """(u, v), u < v: each node of a cell with the least and the largest node of it.
+
+    So a group of any size is mostly joined by two pairs a row and cell, before all near pairs are asked for. Which pairs
+    come is no matter of results."""
+    ends = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    both = cells.join(ends, "cell").select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
+    return both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def components(prints: DataFrame) -> DataFrame:
     """prints (id, fp, ...) with component_id: the smallest id of the documents that links reach, null if none has an id.
 
     Documents of one fingerprint are collapsed before keys are made; a group of copies, however large, is one
-    row there. Only minima per fingerprint and component are gathered."""
+    row there. Fingerprints of a dense group are joined to its cells' ends first; then all near pairs between what is not
+    joined yet are found, so components are exact and a dense ball makes no pairs of all. Only minima per fingerprint and
+    component are gathered."""
     own = settle(prints.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    links = fingerprint_links(own.select("fp").repartition("fp"))
-    label = link_components(links, "print-links")
+    stars = settle(star_pairs(coarse_cells(own.where("fp is not null"), "fp")).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4), "print-stars")
+    joined = link_components(stars, "print-stars").select(F.col("node").alias("_n"), F.col("label").alias("known"))
+    placed = own.select("fp").join(joined, own["fp"] == joined["_n"], "left").select("fp", "known")
+    links = fingerprint_links(placed.repartition("fp"), extra=("known",), keep=not_joined())
+    label = link_components(stars.union(links), "print-links")
     own = own.join(label, own["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
     of = settle(own.join(least, "label").select(F.col("fp").alias("_fp"), "component_id", "label"), "print-components")
+    release(stars, links)
     return prints.join(of, prints["fp"] == of["_fp"]).drop("_fp")
 
 
@@ -230,29 +275,62 @@ def likeness(x: F.Column, y: F.Column, size: int) -> F.Column:
     return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(least, x), y)) / F.size(least))
 
 
+def lone_parts(texts: DataFrame) -> DataFrame:
+    """(th, n, lone): the size of each text's sketch, and how many of its hashes no other of these texts has."""
+    each = texts.select("th", F.explode("sk").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("th").alias("th")).where("c = 1")
+    alone = each.groupBy(F.col("th").alias("_t")).agg(F.count(F.lit(1)).cast("int").alias("lone"))
+    return texts.select("th", F.size("sk").alias("n")).join(alone, F.col("th") == F.col("_t"), "left").select("th", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def could_be_alike(size: int, similarity: float) -> F.Column:
+    """Whether two texts (n_u, lone_u, n_v, lone_v) of lone_parts may reach the similarity: what they share is at most what each has in common with any. Unknown figures say yes."""
+    shared = F.least(F.col("n_u") - F.col("lone_u"), F.col("n_v") - F.col("lone_v"))
+    known = F.col("n_u").isNotNull() & F.col("n_v").isNotNull()
+    return ~known | (shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), F.col("n_u") + F.col("n_v") - shared))
+
+
 def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
-    Texts of one fingerprint first meet the least of them, and only those that are not alike to a lesser one go on, so a
-    dense group leaves few. Of those, fingerprints within most_bits meet through Golay keys. What meets is verified by sketch.
+    Every pair of texts of which a fingerprint differs in most_bits or fewer, or not at all, is compared by sketch, unless
+    links found before join both already, or so many hashes of one are its own that they cannot be alike. So components
+    are those of all such pairs, and a dense group makes few pairs, be its texts alike (its stars join them) or not
+    (each has too much of its own). Figures of lone hashes are of the texts in coarse cells of two or more, and used
+    between these alone.
     """
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
-        return settle(pairs.where("u <> v").distinct().join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity).select("u", "v"), name)
+        return settle(pairs.join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity).select("u", "v"), name)
 
     fps = texts.select("th", F.posexplode("fps").alias("k", "fp"))
-    least = fps.groupBy("k", "fp").agg(F.min("th").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "fp", "rep")
-    equal = verified(fps.join(least, ["k", "fp"]).select(F.col("th").alias("u"), F.col("rep").alias("v")), "near-equal")
-    left = texts.join(equal.select(F.col("u").alias("_u")), texts["th"] == F.col("_u"), "left_anti").select("th", "fps")
-    own = settle(left.select("th", F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp").agg(F.min("th").alias("rep")), "near-prints")
-    links = fingerprint_links(own.select("k", "fp").repartition("k", "fp"), most_bits, "k")
-    one, two = (own.select("k", F.col("fp").alias(c), F.col("rep").alias(f"of_{c}")) for c in "uv")
-    pairs = links.join(one, ["k", "u"]).join(two, ["k", "v"]).select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
-    edges = verified(pairs, "near-pairs").union(equal)
-    return link_components(edges, "near-links")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 4, most_bits: int = 3, size: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    cells = settle(coarse_cells(fps, "th", "k"), "near-cells")
+    tried = settle(star_pairs(cells), "near-tried")
+    near = tried.select(F.explode(F.array("u", "v")).alias("th")).distinct()
+    lone = settle(lone_parts(texts.join(near, "th", "left_semi")), "near-lone")
+    sides = [lone.select(F.col("th").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "lone"))) for c in "uv"]
+    stars = verified(tried.join(sides[0], "u").join(sides[1], "v").where(could_be_alike(size, similarity)).select("u", "v"), "near-stars")
+    joined = settle(link_components(stars, "near-stars"), "near-joined").select(F.col("node").alias("_n"), F.col("label").alias("known"))
+    figures = lone.select(F.col("th").alias("_t"), "n", "lone")
+    placed = fps.join(joined, fps["th"] == joined["_n"], "left").join(figures, F.col("th") == F.col("_t"), "left")
+    placed = settle(placed.select("th", "k", "fp", "known", F.col("n").cast("short").alias("n"), F.col("lone").cast("short").alias("lone")), "near-placed")
+    # A fingerprint of several texts has no figures, and no `known` if they are not all joined, and so is left out of no pair.
+    one_text = F.count(F.lit(1)) == 1
+    whole = F.when((F.count("known") == F.count(F.lit(1))) & (F.min("known") == F.max("known")), F.min("known"))
+    own = settle(placed.groupBy("k", "fp").agg(whole.alias("known"), *(F.when(one_text, F.min(c)).alias(c) for c in ("n", "lone")), F.count(F.lit(1)).alias("texts")), "near-prints")
+    open_pair = not_joined() & could_be_alike(size, similarity)
+    links = fingerprint_links(own.select("k", "fp", "known", "n", "lone").repartition("k", "fp"), most_bits, "k", ("known", "n", "lone"), open_pair)
+    several = own.where("texts > 1 and known is null").select("k", F.col("fp").alias("u"), F.col("fp").alias("v"))
+    one, two = (placed.select("k", F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone"))) for c in "uv")
+    apart = open_pair & ((F.col("u") < F.col("v")) | (F.col("th_u") < F.col("th_v")))
+    pairs = links.select("k", "u", "v").unionByName(several).join(one, ["k", "u"]).join(two, ["k", "v"]).where(apart)
+    pairs = settle(pairs.select(F.least("th_u", "th_v").alias("u"), F.greatest("th_u", "th_v").alias("v")).distinct(), "near-pairs")
+    edges = verified(pairs, "near-edges")
+    found = link_components(edges.union(stars), "near-links")
+    release(cells, tried, lone, placed, own, links, pairs)
+    return found
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 4, most_bits: int = 4, size: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns as they were, with one row of each group of near-duplicates: that of the smallest id, null ids
     last; of rows with that id the one with the smallest hash over all columns, and one of fully equal rows.
 
