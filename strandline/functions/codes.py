@@ -84,3 +84,17 @@ def board(instrument: Column) -> Column:
     for name, pattern in BOARDS.items():
         out = F.when(F.coalesce(instrument.rlike(pattern), F.lit(False)), name).otherwise(out)
     return out
+
+
+#: Fixed value: the cost of one round trip, as a share of the amount.
+ROUND_TRIP = 0.003
+
+
+def months_later(day: Column, n: int) -> Column:
+    """The same day n months later (earlier if negative), the month's last day where it has no such day."""
+    return F.add_months(day, n)
+
+
+def net_of_cost(score: Column, cost: float = ROUND_TRIP) -> Column:
+    """A score, as an expected return, less one round trip's cost."""
+    return score - F.lit(cost)

@@ -5,11 +5,15 @@ Series (datetime, ret) are as long as the calendar, so their numbering and broad
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.sources.shared import kept_table, new_path
+
 MOST_LAG = 40
+#: Share of the shorter run's days, days and draws that a comparison needs at least, and the narrowest interval that may decide.
+LEAST_SHARE, LEAST_DAYS, LEAST_DRAWS, LEAST_WIDTH = 0.9, 20, 1000, 1e-6
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -56,3 +60,60 @@ def block_bootstrap(series: DataFrame, block: DataFrame, draws: int, seed: int,
 def verdict(result: DataFrame) -> DataFrame:
     """Adds `verdict`: which side the interval lies on, or neither."""
     return result.withColumn("verdict", F.when(F.col("lo") > 0, "a").when(F.col("hi") < 0, "b").otherwise("undecided"))
+
+
+def seam(run: DataFrame, column: str = "excess") -> DataFrame:
+    """One row (incl, excl, impact): the yearly ratio of a run (datetime, column, boundary) with the days where folds meet, without them, and what leaving them out changes."""
+    def ir(x: Column) -> Column:
+        sd = F.stddev_samp(x)
+        return F.when(sd > 1e-15, F.avg(x) / sd * F.sqrt(F.lit(252.0)))
+
+    out = run.agg(ir(F.col(column)).alias("incl"), ir(F.when(~F.coalesce("boundary", F.lit(False)), F.col(column))).alias("excl"))
+    return out.withColumn("impact", F.col("excl") - F.col("incl"))
+
+
+def compared_runs(a: DataFrame, b: DataFrame, draws: int, seed: int, least_share: float = LEAST_SHARE, least_days: int = LEAST_DAYS, least_draws: int = LEAST_DRAWS) -> DataFrame:
+    """One row: is run b better than run a? Runs: (datetime, excess, gross, ic, boundary), one row a day; ic and gross may be NULL.
+
+    n_a, n_b, n_shared, overlap (shared days over the shorter run's); block, point, se, lo, hi of the yearly mean difference
+    b - a from a paired circular block bootstrap, and verdict (treatment_better, treatment_worse or indistinguishable: by the interval
+    alone); over the shared days gross_ir_a, gross_ir_b, and over those with both coefficients n_ic, mean_ic_a, mean_ic_b, ic_lo, ic_hi and
+    ic_verdict (treatment, baseline or indistinguishable; that too under least_days of them); contradiction, where the coefficient's
+    verdict is directional and the return's is not the same; seam_a, seam_b: what leaving out the days where folds meet
+    changes in each run's own yearly ratio. Refused, by failing the job that reads the row: too little overlap, too few
+    shared days, a direction that rests on an interval without width.
+    """
+    if draws < least_draws:
+        raise ValueError(f"{draws} draws give no stable interval; {least_draws} at least")
+    # Series are read by many small jobs, so they are written once; they are as long as the calendar.
+    path = new_path(a.sparkSession, "compared-runs")
+    own = {k: kept_table(r.where("excess is not null and not isnan(excess)").select("datetime", "excess", "gross", "ic", "boundary"), f"{path}/{k}") for k, r in (("a", a), ("b", b))}
+    both = own["a"].join(own["b"].select("datetime", *[F.col(c).alias(f"_{c}") for c in ("excess", "gross", "ic")]), "datetime")
+    order = F.row_number().over(Window.orderBy("datetime")) - 1
+    net = both.select("datetime", order.alias("idx"), (F.col("_excess") - F.col("excess")).alias("x"))
+    main = block_bootstrap(net, block_length(net), draws, seed).drop("n")
+    has_ic = both.where("ic is not null and _ic is not null")
+    ics = has_ic.select("datetime", order.alias("idx"), (F.col("_ic") - F.col("ic")).alias("x"))
+    ic_row = block_bootstrap(ics, block_length(ics), draws, seed, 1.0).select(F.col("lo").alias("ic_lo"), F.col("hi").alias("ic_hi"))
+
+    def ir(x: str) -> Column:
+        sd = F.stddev_samp(x)
+        return F.when(sd > 1e-15, F.avg(x) / sd * F.sqrt(F.lit(252.0)))
+
+    facts = both.agg(F.count(F.lit(1)).alias("n_shared"), ir("gross").alias("gross_ir_a"), ir("_gross").alias("gross_ir_b"))
+    means = has_ic.agg(F.count(F.lit(1)).alias("n_ic"), F.avg("ic").alias("mean_ic_a"), F.avg("_ic").alias("mean_ic_b"))
+    out = own["a"].agg(F.count(F.lit(1)).alias("n_a"))
+    for one in (own["b"].agg(F.count(F.lit(1)).alias("n_b")), facts, means, main, ic_row, *(seam(own[k]).select(F.col("impact").alias(f"seam_{k}")) for k in "ab")):
+        out = out.join(F.broadcast(one), how="left", on=F.lit(True))
+    side = F.when(F.col("lo") > 0, "treatment_better").when(F.col("hi") < 0, "treatment_worse").otherwise("indistinguishable")
+    out = out.withColumn("overlap", F.try_divide("n_shared", F.least("n_a", "n_b"))).withColumn("verdict", side)
+    enough = F.col("n_ic") >= least_days
+    out = out.withColumn("ic_verdict", F.when(enough & (F.col("ic_lo") > 0), "treatment").when(enough & (F.col("ic_hi") < 0), "baseline").otherwise("indistinguishable"))
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("ic_lo", "ic_hi")})
+    against = ((F.col("ic_verdict") == "baseline") & (F.col("verdict") != "treatment_worse")) | ((F.col("ic_verdict") == "treatment") & (F.col("verdict") != "treatment_better"))
+    out = out.withColumn("contradiction", against)
+    fault = (
+        F.when(F.coalesce(F.col("overlap") < least_share, F.lit(True)), "the runs share too few of their days").when(F.col("n_shared") < least_days, "too few shared days")
+        .when((F.col("verdict") != "indistinguishable") & (F.col("hi") - F.col("lo") <= LEAST_WIDTH), "a direction on an interval without width")
+    )
+    return out.withColumn("verdict", F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).otherwise(F.col("verdict")))

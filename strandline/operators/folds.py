@@ -27,9 +27,10 @@ def stitched(folds: DataFrame) -> DataFrame:
 
 
 def fold_metrics(folds: DataFrame, *metrics: str) -> DataFrame:
-    """(metric, mean, std, least, valid): over the folds that have the metric; std is that of the population."""
+    """(metric, mean, std, least, most, total, valid): over the folds that have the metric; std is that of the population. The worst
+    drawdown is the least of a metric of drawdowns, the time of a run the total of its folds' seconds."""
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias("x")) for m in metrics]))
-    return folds.select(cells.alias("c")).select("c.*").groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.count("x").alias("valid"))
+    return folds.select(cells.alias("c")).select("c.*").groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum("x").alias("total"), F.count("x").alias("valid"))
 
 
 def differences(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -42,6 +43,14 @@ def differences(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return out.withColumn("relative", F.try_divide("delta", F.abs("baseline")))
 
 
+def better_counts(differences: DataFrame, ratio: str, times: float = 1.1) -> DataFrame:
+    """One row (candidate_better, baseline_better, unavailable, ratio_met) of differences(): metrics that each side has larger, metrics
+    without a number on a side, and whether the candidate's metric `ratio` is at least so many times the baseline's (NULL where one lacks)."""
+    d, own = F.col("delta"), F.col("metric") == ratio
+    met = F.max(F.when(own & F.col("missing").isNull(), F.col("candidate") >= F.lit(times) * F.col("baseline")))
+    return differences.agg(F.count_if(F.coalesce(d > 0, F.lit(False))).alias("candidate_better"), F.count_if(F.coalesce(d < 0, F.lit(False))).alias("baseline_better"), F.count("missing").alias("unavailable"), met.alias("ratio_met"))
+
+
 def mean_rate(schedule: DataFrame, days: DataFrame, first: str, last: str) -> DataFrame:
     """One row (days, rate, changes): mean over the trading days first..last of a step schedule (start, rate), and how
     often it changes inside; days before the first step do not count."""

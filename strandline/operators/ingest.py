@@ -86,6 +86,12 @@ def industry_map(classes: DataFrame, members: DataFrame, level: str = "L2") -> D
     return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("instrument")))
 
 
+def one_industry_each(mapped: DataFrame) -> DataFrame:
+    """(instrument, industry) of industry_map(); the job that reads it fails on a name that several industries claim."""
+    told = F.raise_error(F.concat(F.lit("claimed by several industries: "), F.col("instrument"))).cast("string")
+    return mapped.select("instrument", F.when(F.col("n") > 1, told).otherwise(F.col("industry")).alias("industry"))
+
+
 def build_registry(delisted: DataFrame, reasons: DataFrame, overrides: DataFrame) -> DataFrame:
     """(instrument, delist_date, reason, defect): vendor reasons mapped, overrides (instrument, delist_date, reason) applied.
     defect: 'no date', or 'unknown override' for one whose instrument is not listed; else NULL."""

@@ -101,3 +101,45 @@ def monthly(returns: DataFrame, bench: DataFrame) -> DataFrame:
 def ranked(positions: DataFrame) -> DataFrame:
     """positions with `rank`, the place in the day by weight, ties by instrument."""
     return positions.withColumn("rank", F.row_number().over(day().orderBy(F.desc("weight"), "instrument")))
+
+
+def nav(returns: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+    """(datetime, ret, nav, drawdown, bench, bench_nav, bench_drawdown) of returns (datetime, ret): the value of one unit and its distance
+    from the highest so far; the benchmark (datetime, ret) on the same days, a missing return being 0. A series is as long
+    as the calendar, so one task carries it."""
+    so_far = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    rows = returns.where("ret is not null").select("datetime", "ret")
+    rows = rows.join(bench.select("datetime", F.col("ret").alias("bench")), "datetime", "left") if bench is not None else rows.withColumn("bench", F.lit(None).cast("double"))
+    other = F.product(1 + F.coalesce("bench", F.lit(0.0))).over(so_far)
+    out = rows.withColumns({"nav": F.product(1 + F.col("ret")).over(so_far), "bench_nav": other if bench is not None else F.lit(None).cast("double")})
+    out = out.withColumns({"drawdown": F.col("nav") / F.max("nav").over(so_far) - 1, "bench_drawdown": F.col("bench_nav") / F.max("bench_nav").over(so_far) - 1})
+    return out.select("datetime", "ret", "nav", "drawdown", "bench", "bench_nav", "bench_drawdown")
+
+
+def held_within(positions: DataFrame, group: str, limits: dict[str, float], scope: DataFrame | None = None, mode: str = "clip") -> DataFrame:
+    """positions (datetime, instrument, group, weight) held within the limits of violations() on the days of scope (datetime; all without it).
+
+    mode "clip": weights on these days as clipped() has them, others as they are; "raise": as they are, and the job that
+    reads them fails on the first limit that a day of the scope breaks."""
+    if mode not in ("clip", "raise"):
+        raise ValueError(f"no mode {mode!r}")
+    days = None if scope is None else F.broadcast(scope.select("datetime").distinct())
+    inside = positions if days is None else positions.join(days, "datetime", "left_semi")
+    if mode == "clip":
+        out = clipped(inside, group, **limits)
+        return out if days is None else out.unionByName(positions.join(days, "datetime", "left_anti"))
+    first = violations(inside, group, **limits).agg(F.min(F.struct("datetime", "rule", "what", "actual")).alias("x"))
+    told = F.concat_ws(" ", F.lit("limit broken:"), *[F.col(f"x.{c}").cast("string") for c in ("datetime", "rule", "what", "actual")])
+    fine = first.select(F.when(F.col("x").isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)).alias("_fine"))
+    return positions.crossJoin(F.broadcast(fine)).where("_fine").drop("_fine")
+
+
+def given_weights(weights: DataFrame, names: DataFrame) -> DataFrame:
+    """(instrument, weight) of explicit weights (instrument, weight) over the given names: others count for nothing, names without a weight have 0, and all add up to 1. A weight that is negative or no finite number is an error, as are weights none of which is positive among the names."""
+    w = F.col("weight").cast("double")
+    fine = (w >= 0) & (w < float("inf"))
+    checked = weights.select("instrument", F.when(F.coalesce(fine, F.lit(False)), w).otherwise(F.raise_error(F.concat(F.lit("a weight that is no finite non-negative number: "), F.col("instrument"))).cast("double")).alias("weight"))
+    rows = names.select("instrument").distinct().join(checked, "instrument", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    total = rows.agg(F.sum("weight").alias("_sum"))
+    share = F.when(F.col("_sum") > 0, F.col("weight") / F.col("_sum")).otherwise(F.raise_error(F.lit("no positive weight among the names")).cast("double"))
+    return rows.join(F.broadcast(total), how="cross").select("instrument", share.alias("weight"))

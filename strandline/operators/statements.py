@@ -84,6 +84,25 @@ def version_differences(versions: DataFrame, *fields: str) -> DataFrame:
     return both.select(cells.alias("x")).groupBy("x.field").agg(F.count(F.lit(1)).alias("compared"), F.count_if("x.differs").alias("differing"))
 
 
+def residuals(versions: DataFrame, universe: DataFrame, *fields: str, source: str = "source") -> DataFrame:
+    """(source, field, compared, differing, without_file) of versions of several sources (source, code, period, update_flag, fields) at once:
+    how many cells differ between original and revision, and how many names of the universe (code) a source has no row of."""
+    one = [F.max(F.when(F.col("update_flag") == k, F.struct(*fields))).alias(f"_v{k}") for k in (0, 1)]
+    both = versions.groupBy(source, *KEY).agg(*one)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), ~F.col(f"_v0.{c}").eqNullSafe(F.col(f"_v1.{c}"))).alias("differs")) for c in fields]))
+    out = both.select(source, cells.alias("x")).groupBy(source, "x.field").agg(F.count("x.differs").alias("compared"), F.count_if(F.coalesce("x.differs", F.lit(False))).alias("differing"))
+    names = universe.select("code").distinct()
+    had = versions.select(source, "code").distinct().join(names, "code", "left_semi").groupBy(source).agg(F.count(F.lit(1)).alias("_had"))
+    return out.join(had, source, "left").join(F.broadcast(names.agg(F.count(F.lit(1)).alias("_all"))), how="cross").select(source, "field", "compared", "differing", (F.col("_all") - F.coalesce("_had", F.lit(0))).alias("without_file"))
+
+
+def contract_frame(raw: DataFrame, days: DataFrame, hash_of: Column) -> DataFrame:
+    """contract() with original_hash: in revisions the hash of the original of the same (code, period), NULL where there is none and in originals."""
+    rows = contract(raw, days)
+    links = rows.withColumn("_h", hash_of).where("update_flag = 0").groupBy(*KEY).agg(F.max_by("_h", "batch").alias("_original"))
+    return rows.join(links, list(KEY), "left").withColumn("original_hash", F.when(F.col("update_flag") == 1, F.col("_original"))).drop("_original")
+
+
 def new_versions(batch: DataFrame, stored: DataFrame, hash_of: Column) -> DataFrame:
     """Rows of the batch whose content differs from the latest stored one of their (code, period, flag), or is new: column `state`."""
     keys = [*KEY, "update_flag"]

@@ -26,9 +26,9 @@ def stitched_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.stitched(years(spark, sf_dir)).select("fold", "test_start", "test_end", "annual", "nav"), "annual", "nav")
 
 
-@query("fold_metrics", YEARS + " select 'total' as metric, round(avg(total), 6) as mean, round(stddev_pop(total), 6) as std, round(min(total), 6) as least, count(total) as valid from yr union all select 'annual', round(avg(annual), 6), round(stddev_pop(annual), 6), round(min(annual), 6), count(annual) from yr")
+@query("fold_metrics", YEARS + " select 'total' as metric, round(avg(total), 6) as mean, round(stddev_pop(total), 6) as std, round(min(total), 6) as least, round(max(total), 6) as most, round(sum(total), 6) as total, count(total) as valid from yr union all select 'annual', round(avg(annual), 6), round(stddev_pop(annual), 6), round(min(annual), 6), round(max(annual), 6), round(sum(annual), 6), count(annual) from yr")
 def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(folds.fold_metrics(years(spark, sf_dir), "total", "annual"), "mean", "std", "least")
+    return rounded(folds.fold_metrics(years(spark, sf_dir), "total", "annual"), "mean", "std", "least", "most", "total")
 
 
 @query("metric_differences", YEARS + """, r as (select cast(fold as varchar) as metric, case when fold = 1997 then 0.0::double else total end as baseline, annual as candidate from yr)
@@ -39,6 +39,14 @@ def metric_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "baseline", "candidate", "delta"), "relative", places=4)
 
 
+@query("better_counts", YEARS + """, r as (select cast(fold as varchar) as metric, case when fold = 1997 then 0.0::double else total end as b, case when fold <> 1999 then annual end as c from yr)
+select count(*) filter (c > b) as candidate_better, count(*) filter (c < b) as baseline_better, count(*) filter (c is null) as unavailable, max(case when metric = '1998' then c >= 1.1 * b end) as ratio_met from r""")
+def better_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, name = years(spark, sf_dir), F.col("fold").cast("string").alias("metric")
+    out = folds.differences(y.select(name, F.when(F.col("fold") == 1997, 0.0).otherwise(F.col("total")).alias("value")), y.where("fold <> 1999").select(name, F.col("annual").alias("value")))
+    return folds.better_counts(out, "1998")
+
+
 @query("mean_rate", "+ w as (select datetime, case when datetime < date '1997-03-01' then 20.0 when datetime < date '1999-09-15' then 10.0 else 5.0 end as r from cal where datetime between date '1996-01-01' and date '2000-12-31') select count(*) as days, round(avg(r), 6)::double as rate, count(distinct r) - 1 as changes from w")
 def mean_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = spark.sql("select * from values (date'1995-01-01', 20.0D), (date'1997-03-01', 10.0D), (date'1999-09-15', 5.0D) as t(start, rate)")

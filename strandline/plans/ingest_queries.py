@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from strandline.functions import codes
 from strandline.operators import arms, ingest, statements
 from strandline.plans import testviews as v
 from strandline.plans.portfolio_queries import BENCH, POS, bench, groups, positions
@@ -319,4 +319,4 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("net_scores", "select datetime, instrument, round(score - 0.003, 9) as net, cast(datetime + interval 3 month as date) as review from predictions")
 def net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.predictions(spark, sf_dir).select("datetime", "instrument", F.round(F.col("score") - F.lit(0.003), 9).alias("net"), F.add_months("datetime", 3).alias("review"))
+    return v.predictions(spark, sf_dir).select("datetime", "instrument", F.round(codes.net_of_cost(F.col("score")), 9).alias("net"), codes.months_later(F.col("datetime"), 3).alias("review"))

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.functions import factors as f
-from strandline.operators import panel, signal
+from strandline.operators import panel, portfolio, signal
 from strandline.plans import testviews as v
 from strandline.plans.registry import FOUND, SQL, off_ties, query
 
@@ -211,13 +210,16 @@ def next_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nav_and_drawdown", TOP + """, m as (select datetime, instrument, lead(close, 2) over wi / lead(close, 1) over wi - 1 as ret from dense window wi as (partition by instrument order by datetime)),
 r as (select t.datetime, avg(m.ret) as ret from top t join m on m.datetime = t.datetime and m.instrument = t.instrument group by t.datetime),
-n as (select datetime, product(1 + ret / 100) over (order by datetime rows between unbounded preceding and current row) as nav from r where ret is not null)
-select datetime, round(nav, 3) as nav, round(nav / max(nav) over (order by datetime rows between unbounded preceding and current row) - 1, 6) as drawdown from n""")
+e as (select datetime, avg(ret) as ret from m where ret is not null and month(datetime) <> 7 group by datetime),
+n as (select r.datetime, product(1 + r.ret / 100) over o as nav, product(1 + coalesce(e.ret, 0) / 100) over o as bench_nav from r left join e on e.datetime = r.datetime where r.ret is not null window o as (order by r.datetime rows between unbounded preceding and current row))
+select datetime, round(nav, 3) as nav, round(nav / max(nav) over o - 1, 6) as drawdown, round(bench_nav, 3) as bench_nav, round(bench_nav / max(bench_nav) over o - 1, 6) as bench_drawdown from n window o as (order by datetime rows between unbounded preceding and current row)""")
 def nav_and_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = signal.equal_weight_returns(v.predictions(spark, sf_dir), v.dense(spark, sf_dir), 10).where("ret is not null")
-    so_far = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    nav = r.select("datetime", F.product(1 + F.col("ret") / 100).over(so_far).alias("nav"))
-    return nav.select("datetime", F.round("nav", 3).alias("nav"), F.round(F.col("nav") / F.max("nav").over(so_far) - 1, 6).alias("drawdown"))
+    """Of the best ten names, beside all names, whose return is unknown in each July."""
+    dense = v.dense(spark, sf_dir)
+    r = signal.equal_weight_returns(v.predictions(spark, sf_dir), dense, 10).select("datetime", (F.col("ret") / 100).alias("ret"))
+    every = dense.select("datetime", "instrument", signal.forward_return(F.col("close"), 1).alias("ret")).where("ret is not null and month(datetime) <> 7").groupBy("datetime").agg((F.avg("ret") / 100).alias("ret"))
+    out = portfolio.nav(r, every)
+    return out.select("datetime", F.round("nav", 3).alias("nav"), F.round("drawdown", 6).alias("drawdown"), F.round("bench_nav", 3).alias("bench_nav"), F.round("bench_drawdown", 6).alias("bench_drawdown"))
 
 
 @query("factor_coverage", "select datetime, round(avg(case when close is not null then 1.0 else 0.0 end), 6) as coverage, count(close) as n from dense group by datetime")

@@ -8,7 +8,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from strandline.functions import factors as f
-from strandline.operators import analysis, arms, daily, pretrade, selection, stamps
+from strandline.operators import analysis, arms, compare, daily, ingest, portfolio, pretrade, selection, stamps
 
 D0 = datetime.date(2024, 1, 1)
 
@@ -181,3 +181,67 @@ def test_analysis_of_factors_scans_the_panel_once(spark, tmp_path):
     for bad in ({"forward": 0}, {"top": 0}):
         with pytest.raises(ValueError):
             analysis.factor_analysis(panel, names, **bad)
+
+
+def run(spark, n, shift, ic, seed, step=1):
+    rng = np.random.default_rng(seed)
+    rows = [(day(t * step), float(rng.normal() * 0.01 + shift), float(rng.normal() * 0.01), float(rng.normal() * 0.02 + ic) if ic is not None else None, t % 10 == 0) for t in range(n)]
+    return spark.createDataFrame(rows, "datetime date, excess double, gross double, ic double, boundary boolean")
+
+
+def test_compared_runs_and_what_is_refused(spark):
+    base = run(spark, 60, 0.0, 0.0, 1)
+    better = compare.compared_runs(base, run(spark, 60, 0.02, 0.05, 2), 1000, 3).first()
+    assert (better.verdict, better.ic_verdict, better.contradiction, better.n_shared, better.overlap) == ("treatment_better", "treatment", False, 60, 1.0)
+    against = compare.compared_runs(base, run(spark, 60, 0.02, -0.05, 2), 1000, 3).first()
+    assert (against.verdict, against.ic_verdict, against.contradiction) == ("treatment_better", "baseline", True)
+    blind = compare.compared_runs(base, run(spark, 60, 0.02, None, 2), 1000, 3).first()
+    assert (blind.n_ic, blind.ic_verdict, blind.ic_lo) == (0, "indistinguishable", None)
+    excl = [r.excess for r in base.where("not boundary").collect()]
+    incl = [r.excess for r in base.collect()]
+    assert better.seam_a == pytest.approx((np.mean(excl) / np.std(excl, ddof=1) - np.mean(incl) / np.std(incl, ddof=1)) * 252**0.5)
+    with pytest.raises(ValueError, match="no stable interval"):
+        compare.compared_runs(base, base, 10, 3)
+    with pytest.raises(Exception, match="share too few"):
+        compare.compared_runs(base, run(spark, 60, 0.0, 0.0, 4, step=2), 1000, 3).collect()
+    with pytest.raises(Exception, match="too few shared days"):
+        compare.compared_runs(run(spark, 10, 0.0, 0.0, 1), run(spark, 10, 0.0, 0.0, 4), 1000, 3).collect()
+    with pytest.raises(Exception, match="without width"):
+        compare.compared_runs(base, base.withColumn("excess", F.col("excess") + 0.01), 1000, 3).collect()
+
+
+def test_limits_in_a_scope(spark):
+    rows = [(day(t), i, g, w) for t in range(2) for i, g, w in (("a", "x", 0.5), ("b", "x", 0.3), ("c", "y", 0.1))]
+    p = spark.createDataFrame(rows, "datetime date, instrument string, board string, weight double")
+    limits = {"per_name": 0.4, "per_group": 0.6, "cash": 0.1, "leverage": 1.0}
+    scope = calendar(spark, 1)
+    got = {((r.datetime - D0).days, r.instrument): r.weight for r in portfolio.held_within(p, "board", limits, scope).collect()}
+    assert got[1, "a"] == 0.5 and got[0, "a"] == pytest.approx(0.4 * 0.6 / 0.7) and len(got) == 6
+    with pytest.raises(Exception, match="limit broken: 2024-01-01 per_group x"):
+        portfolio.held_within(p.where("instrument <> 'a' or datetime > date'2024-01-01'").withColumn("weight", F.col("weight") * 2), "board", {**limits, "per_name": 1.0, "per_group": 0.5}, scope, "raise").collect()
+    loose = {"per_name": 1.0, "per_group": 1.0, "cash": 0.0, "leverage": 1.0}
+    assert portfolio.held_within(p, "board", loose, mode="raise").count() == 6
+    with pytest.raises(ValueError):
+        portfolio.held_within(p, "board", limits, mode="warn")
+
+
+def test_explicit_weights_and_single_industries(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("z",)], "instrument string")
+    w = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("q", 9.0)], "instrument string, weight double")
+    assert {r.instrument: r.weight for r in portfolio.given_weights(w, names).collect()} == {"a": 0.25, "b": 0.75, "z": 0.0}
+    for bad in (-1.0, float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="no finite non-negative"):
+            portfolio.given_weights(spark.createDataFrame([("a", bad)], "instrument string, weight double"), names).collect()
+    with pytest.raises(Exception, match="no positive weight"):
+        portfolio.given_weights(w.where("instrument = 'q'"), names).collect()
+    mapped = spark.createDataFrame([("a", "steel", 1), ("b", "coal", 2), ("b", "oil", 2)], "instrument string, industry string, n long")
+    assert [tuple(r) for r in ingest.one_industry_each(mapped.where("n = 1")).collect()] == [("a", "steel")]
+    with pytest.raises(Exception, match="several industries: b"):
+        ingest.one_industry_each(mapped).collect()
+
+
+def test_value_of_a_unit(spark):
+    r = spark.createDataFrame([(day(0), 0.1), (day(1), -0.5), (day(2), None), (day(3), 1.0)], "datetime date, ret double")
+    got = portfolio.nav(r, r.where("ret > 0.5")).orderBy("datetime").collect()
+    assert [round(x.nav, 6) for x in got] == [1.1, 0.55, 1.1] and [round(x.drawdown, 6) for x in got] == [0, -0.5, 0] and [x.bench_nav for x in got] == [1, 1, 2]
+    assert portfolio.nav(r).where("bench_nav is not null").count() == 0
