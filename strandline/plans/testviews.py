@@ -38,3 +38,19 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.conv(F.substring(F.md5(F.concat("instrument", F.lit(":"), F.col("datetime").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return bars(spark, sf_dir).select("datetime", "instrument", score.alias("score"))
+
+
+#: A panel whose names grow with the data: every supplier is one.
+MANY = f"""
+mli as (select concat('S', cast(l_suppkey as varchar)) as instrument, cast(date_trunc('week', l_shipdate) as date) as datetime, l_extendedprice / l_quantity as p, l_quantity as q, l_extendedprice as e, row({", ".join(ORDER)}) as o from lineitem),
+mbars as (select instrument, datetime, max(p) as high, min(p) as low, arg_max(p, o) as close, sum(q) as volume from mli group by all),
+many as (select c.datetime, i.instrument, b.high, b.low, b.close, b.volume from (select distinct datetime from mbars) c cross join (select distinct instrument from mbars) i left join mbars b on b.datetime = c.datetime and b.instrument = i.instrument)"""
+
+
+def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel of every supplier's weeks."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price, order = F.col("l_extendedprice") / F.col("l_quantity"), F.struct(*ORDER)
+    rows = t.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("instrument"), F.to_date(F.date_trunc("week", F.col("l_shipdate"))).alias("datetime"))
+    b = rows.agg(F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume"))
+    return panel.densify(b, panel.calendar(b))
