@@ -27,6 +27,14 @@ def ic_table(factors: DataFrame, returns: DataFrame) -> DataFrame:
     return out.withColumn("ir", F.when(F.col("std_ic") > 1e-9, F.col("ir")))
 
 
+def floor_ic(rows: DataFrame, *keys: str, least: int, method: str = "rank") -> DataFrame:
+    """(keys, days, dropped, flat, mean_ic) of rows (keys, datetime, score, ret): the mean IC of days with at least `least` joint names,
+    how many days had fewer (but one) and were dropped, and on how many of the others a side does not vary."""
+    daily = daily_ic(rows, *keys, "datetime", method=method, least=least)
+    thin = F.col("n") < least
+    return daily.groupBy(*keys).agg(F.count("ic").alias("days"), F.count_if(thin).alias("dropped"), F.count_if(~thin & F.col("ic").isNull()).alias("flat"), F.avg("ic").alias("mean_ic"))
+
+
 def t_summary(daily: DataFrame, *keys: str) -> DataFrame:
     """n, mean, std, ir and t of the column ic."""
     n, sd = F.count("ic"), F.stddev_samp("ic")

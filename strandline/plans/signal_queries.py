@@ -40,6 +40,12 @@ def factor_ic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.ic_table(long_factors(spark, sf_dir), returns(spark, sf_dir)), "mean_ic", "std_ic", "ir", "positive")
 
 
+@query("floor_ic", FACTORS + IC.replace("count(*) >= 3 and", "count(*) >= 39 and").replace("select factor, datetime, case", "select factor, datetime, count(*) as n, case") + " select factor, count(ic) as days, count(*) filter (n < 39) as dropped, count(*) filter (n >= 39 and ic is null) as flat, round(avg(ic), 6) as mean_ic from daily group by factor")
+def floor_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = long_factors(spark, sf_dir).withColumnRenamed("value", "score").join(returns(spark, sf_dir), ["datetime", "instrument"])
+    return rounded(evaluation.floor_ic(joined, "factor", least=39), "mean_ic")
+
+
 @query("factor_t_summary", FACTORS + IC + " select factor, count(ic) as n, round(avg(ic), 6) as mean, round(stddev_samp(ic), 6) as std, round(avg(ic) / stddev_samp(ic), 6) as ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 6) as t from daily group by factor")
 def factor_t_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = long_factors(spark, sf_dir).withColumnRenamed("value", "score").join(returns(spark, sf_dir), ["datetime", "instrument"])
