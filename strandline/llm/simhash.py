@@ -183,22 +183,22 @@ def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None,
     return links
 
 
-def coarse_cells(rows: DataFrame, node: str, of: str | None = None) -> DataFrame:
-    """(cell, node): the coarse cells of each row (node, a long; fp; and `of` as in fingerprint_links), three for a fingerprint.
+def coarse_cells(rows: DataFrame) -> DataFrame:
+    """(cell, node): the coarse cells of each row (node, a long; fps, an array of fingerprints, as many in each row).
 
-    A cell holds the fingerprints of which two parts have the same nearest codewords; those of a dense group mostly share one."""
+    A cell holds rows that agree in the nearest codewords of three parts, 36 bits in all, so that chance fills few at any
+    size; many of a dense group share some. One fingerprint has one cell, several have one for each of their parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
         for batch in batches:
-            u = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            own = batch.column("node").to_numpy(zero_copy_only=False)
-            apart = batch.column(of).to_numpy(zero_copy_only=False).astype(np.int64) << 48 if of else np.zeros(len(u), dtype=np.int64)
-            near = [golay.nearest(((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64)) for lo, n in PARTS]
-            for kind, (i, j) in enumerate(combinations(range(3), 2)):
-                yield to_batch({"cell": apart | kind << 24 | near[i] << 12 | near[j], "node": own}, schema)
+            u = batch.column("fps").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            near = [golay.nearest(((u[:, k] >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64)) for k in range(u.shape[1]) for lo, n in PARTS]
+            for a in range(len(near) if len(near) > 3 else 1):
+                three = [near[(a + step) % len(near)] for step in ((0, 1, 5) if len(near) > 3 else (0, 1, 2))]
+                yield to_batch({"cell": a << 48 | three[0] << 24 | three[1] << 12 | three[2], "node": batch.column("node")}, schema)
 
-    return rows.select(F.col(node).alias("node"), "fp", *([of] if of else [])).mapInArrow(run, "cell long, node long")
+    return rows.select("node", "fps").mapInArrow(run, "cell long, node long")
 
 
 def star_pairs(cells: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def components(prints: DataFrame) -> DataFrame:
     joined yet are found, so components are exact and a dense ball makes no pairs of all. Only minima per fingerprint and
     component are gathered."""
     own = settle(prints.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    stars = settle(star_pairs(coarse_cells(own.where("fp is not null"), "fp")).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4), "print-stars")
+    stars = settle(star_pairs(coarse_cells(own.where("fp is not null").select(F.col("fp").alias("node"), F.array("fp").alias("fps")))).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4), "print-stars")
     joined = link_components(stars, "print-stars").select(F.col("node").alias("_n"), F.col("label").alias("known"))
     placed = own.select("fp").join(joined, own["fp"] == joined["_n"], "left").select("fp", "known")
     links = fingerprint_links(placed.repartition("fp"), extra=("known",), keep=not_joined())
@@ -282,11 +282,12 @@ def lone_parts(texts: DataFrame) -> DataFrame:
     return texts.select("th", F.size("sk").alias("n")).join(alone, F.col("th") == F.col("_t"), "left").select("th", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
-def could_be_alike(size: int, similarity: float) -> F.Column:
-    """Whether two texts (n_u, lone_u, n_v, lone_v) of lone_parts may reach the similarity: what they share is at most what each has in common with any. Unknown figures say yes."""
-    shared = F.least(F.col("n_u") - F.col("lone_u"), F.col("n_v") - F.col("lone_v"))
-    known = F.col("n_u").isNotNull() & F.col("n_v").isNotNull()
-    return ~known | (shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), F.col("n_u") + F.col("n_v") - shared))
+def could_be_alike(size: int, similarity: float, figures: dict[str, F.Column] | None = None) -> F.Column:
+    """Whether two texts (n_u, lone_u, n_v, lone_v: columns, or as given) of lone_parts may reach the similarity: what they share is at most what each has in common with any. Unknown figures say yes."""
+    x = figures or {c: F.col(c) for c in ("n_u", "lone_u", "n_v", "lone_v")}
+    shared = F.least(x["n_u"] - x["lone_u"], x["n_v"] - x["lone_v"])
+    known = x["n_u"].isNotNull() & x["n_v"].isNotNull()
+    return ~known | (shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), x["n_u"] + x["n_v"] - shared))
 
 
 def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int) -> DataFrame:
@@ -303,7 +304,7 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
         return settle(pairs.join(x, "u").join(y, "v").where(likeness(F.col("sk_u"), F.col("sk_v"), size) >= similarity).select("u", "v"), name)
 
     fps = texts.select("th", F.posexplode("fps").alias("k", "fp"))
-    cells = settle(coarse_cells(fps, "th", "k"), "near-cells")
+    cells = settle(coarse_cells(texts.select(F.col("th").alias("node"), "fps")), "near-cells")
     tried = settle(star_pairs(cells), "near-tried")
     near = tried.select(F.explode(F.array("u", "v")).alias("th")).distinct()
     lone = settle(lone_parts(texts.join(near, "th", "left_semi")), "near-lone")
@@ -312,13 +313,16 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
     joined = settle(link_components(stars, "near-stars"), "near-joined").select(F.col("node").alias("_n"), F.col("label").alias("known"))
     figures = lone.select(F.col("th").alias("_t"), "n", "lone")
     placed = fps.join(joined, fps["th"] == joined["_n"], "left").join(figures, F.col("th") == F.col("_t"), "left")
-    placed = settle(placed.select("th", "k", "fp", "known", F.col("n").cast("short").alias("n"), F.col("lone").cast("short").alias("lone")), "near-placed")
+    placed = settle(placed.select("th", "k", "fp", "known", "n", "lone"), "near-placed")
     # A fingerprint of several texts has no figures, and no `known` if they are not all joined, and so is left out of no pair.
     one_text = F.count(F.lit(1)) == 1
     whole = F.when((F.count("known") == F.count(F.lit(1))) & (F.min("known") == F.max("known")), F.min("known"))
     own = settle(placed.groupBy("k", "fp").agg(whole.alias("known"), *(F.when(one_text, F.min(c)).alias(c) for c in ("n", "lone")), F.count(F.lit(1)).alias("texts")), "near-prints")
     open_pair = not_joined() & could_be_alike(size, similarity)
-    links = fingerprint_links(own.select("k", "fp", "known", "n", "lone").repartition("k", "fp"), most_bits, "k", ("known", "n", "lone"), open_pair)
+    # Both figures travel as one number.
+    packed = own.select("k", "fp", "known", (F.col("n") * (size + 1) + F.col("lone")).alias("figures"))
+    parts = {f"{x}_{c}": F.expr(f"figures_{c} {op} {size + 1}").cast("int") for c in "uv" for x, op in (("n", "div"), ("lone", "%"))}
+    links = fingerprint_links(packed.repartition("k", "fp"), most_bits, "k", ("known", "figures"), not_joined() & could_be_alike(size, similarity, parts))
     several = own.where("texts > 1 and known is null").select("k", F.col("fp").alias("u"), F.col("fp").alias("v"))
     one, two = (placed.select("k", F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone"))) for c in "uv")
     apart = open_pair & ((F.col("u") < F.col("v")) | (F.col("th_u") < F.col("th_v")))
@@ -339,19 +343,20 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     Candidates are texts of which one of n_prints SimHash fingerprints over the distinct words differs in most_bits or
     fewer (0 to 4); more find more, and make more links in a dense group. Copies are one text there. A null text counts as empty; texts without words are alike. Texts are hashed whole.
     """
-    whole = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("rid"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(docs[text_col], F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("th", pa.int64()), ("fps", pa.list_(pa.int64())), ("sk", pa.list_(pa.int32()))])
         for batch in batches:
-            schema = pa.schema([batch.schema.field("id"), ("rid", pa.int64()), ("th", pa.int64()), ("fps", pa.list_(pa.int64())), ("sk", pa.list_(pa.int32()))])
             for part in pieces(batch, "text"):
-                own = [t or "" for t in part.column("text").to_pylist()]
-                th = [signed(xxhash.xxh64_intdigest(t.encode(), SEED)) for t in own]
-                yield to_batch({"id": part.column("id"), "rid": part.column("rid"), "th": th, "fps": [word_prints(t, n_prints) for t in own], "sk": pa.array([sketch(t, shingle, size) for t in own], type=pa.list_(pa.int32()))}, schema)
-
-    prints = settle(whole.mapInArrow(run, f"id {kind}, rid long, th long, fps array<long>, sk array<int>"), "near-texts")
-    texts = settle(prints.groupBy("th").agg(F.first("fps").alias("fps"), F.first("sk").alias("sk")), "near-distinct")
+                own = part.column("text").to_pylist()
+                yield to_batch({"th": part.column("th"), "fps": [word_prints(t, n_prints) for t in own], "sk": pa.array([sketch(t, shingle, size) for t in own], type=pa.list_(pa.int32()))}, schema)
+
+    # Rows keep the hash of their text alone; what texts are compared by is kept once for each text.
+    th = F.xxhash64(text).alias("th")
+    prints = settle(docs.select(docs[id_col].alias("id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("rid"), th), "near-rows")
+    each = docs.select(th, text.alias("text")).mapInArrow(run, "th long, fps array<long>, sk array<int>")
+    texts = settle(each.groupBy("th").agg(F.first("fps").alias("fps"), F.first("sk").alias("sk")), "near-distinct")
     label = settle(alike_texts(texts, most_bits, similarity, size), "near-labels").withColumnRenamed("node", "_node")
     rows = prints.join(label, prints["th"] == label["_node"], "left").select("id", "rid", F.coalesce("label", "th").alias("label"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "rid")

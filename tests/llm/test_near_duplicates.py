@@ -71,7 +71,7 @@ def test_a_joined_ball_makes_no_pairs(spark):
     got = {r.id: r.component_id for r in simhash.components(prints).collect()}
     links = [(i, j) for i in range(len(ball)) for j in range(i) if bin(ball[i] ^ ball[j]).count("1") <= 4]
     assert [got[i] for i in range(len(ball))] == union(len(ball), links)
-    stars = simhash.star_pairs(simhash.coarse_cells(prints, "fp")).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4)
+    stars = simhash.star_pairs(simhash.coarse_cells(prints.select(F.col("fp").alias("node"), F.array("fp").alias("fps")))).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4)
     assert stars.count() < len(links) / 20
 
 
