@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,19 @@ def densify(panel: DataFrame, days: DataFrame) -> DataFrame:
     return grid.join(panel, ["datetime", "instrument"], "left")
 
 
+def aligned(panel: DataFrame, days: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(datetime, instrument, start_index, fields): each name's rows on every day of the calendar from its own first day to
+    the calendar's last, whatever its last day is. days: (datetime, idx); start_index is the first day's idx. A field
+    that is no number, or that the panel lacks, is NULL. Rows off the calendar go; of repeated days the least row stays. A name whose first day is off the calendar starts on the next."""
+    there = [c for c in fields if c in panel.columns]
+    own = panel.where("instrument is not null").groupBy("datetime", "instrument").agg(F.min(F.struct(F.lit(0).alias("_"), *[F.col(c).try_cast("double").alias(c) for c in there])).alias("_x")).select("datetime", "instrument", *[f"_x.{c}" for c in there])
+    first = own.groupBy("instrument").agg(F.min("datetime").alias("first"))
+    grid = on_days(first, days, F.col("first"), F.to_date(F.lit("9999-12-31"))).select("datetime", "instrument")
+    start = F.min("idx").over(Window.partitionBy("instrument")).alias("start_index")
+    rows = grid.join(own, ["datetime", "instrument"], "left").join(F.broadcast(days.select("datetime", "idx")), "datetime")
+    return rows.select("datetime", "instrument", start, *[(F.col(c) if c in there else F.lit(None).cast("double")).alias(c) for c in fields])
+
+
 def adjusted(dense: DataFrame, factors: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
     """Prices times the adjustment factor, which holds until the next one and is 1 before the first. A factor that is not a positive number is an error."""
     raw = F.col("adj_factor").cast("double")

@@ -84,6 +84,22 @@ def short_embargoes(segments: DataFrame, days: DataFrame, least: int) -> DataFra
     return between.groupBy("name", "start").agg(F.count("datetime").alias("gap")).where(F.col("gap") < least)
 
 
+def membership_cases(spans: DataFrame, cases: DataFrame, most_days: int) -> DataFrame:
+    """(index_code, instrument, action, day, nearest, gap, verdict) for each distinct case (index_code, instrument, action, day):
+    the run's edge nearest to the day (starts for 'enter', ends of closed runs for 'leave'; of equally near ones the earlier) and
+    its distance in days. spans: (index_code, instrument, start, end), open ones to 2099-12-31. verdict: 'match', 'too far' (also without a day), 'no run',
+    'still a member' (a leave of open runs only) or 'unknown action'. cases are few and are broadcast by the optimiser where their size allows."""
+    keys = ["index_code", "instrument", "action", "day"]
+    runs = spans.select(F.col("index_code").alias("_x"), F.col("instrument").alias("_i"), F.col("start").alias("_a"), F.when(F.col("end") < F.to_date(F.lit("2099-12-31")), F.col("end")).alias("_b"))
+    edge = F.when(F.col("action") == "enter", F.col("_a")).when(F.col("action") == "leave", F.col("_b"))
+    met = cases.select(*keys).distinct().join(runs, (F.col("index_code") == F.col("_x")) & (F.col("instrument") == F.col("_i")), "left")
+    best = F.min(F.when(edge.isNotNull(), F.struct(F.abs(F.datediff(edge, "day")).alias("gap"), edge.alias("nearest"))))
+    out = met.groupBy(*keys).agg(F.count("_a").alias("_n"), best.alias("_best"))
+    known = F.coalesce(F.col("action").isin("enter", "leave"), F.lit(False))
+    verdict = F.when(F.col("_n") == 0, "no run").when(~known, "unknown action").when(F.col("_best").isNull(), "still a member").when(F.col("_best.gap") <= most_days, "match").otherwise("too far")
+    return out.select(*keys, F.col("_best.nearest").alias("nearest"), F.col("_best.gap").alias("gap"), verdict.alias("verdict"))
+
+
 def absent(expected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     """Expected cases that are not found."""
     return expected.join(found.select(*keys).distinct(), list(keys), "left_anti")

@@ -172,6 +172,26 @@ def closes_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.closes_around(v.bars(spark, sf_dir), registry(spark, sf_dir).select("instrument", F.col("delist_date").alias("day")), 20, 6)
 
 
+@query("membership_cases", BOTH + """, c as (select distinct instrument, delist_date as day, case cast(substr(instrument, 2) as int) % 5 when 0 then 'join' when 1 then 'enter' when 2 then 'enter' else 'leave' end as action from reg),
+r as (select instrument, start, case when "end" < date '2099-12-31' then "end" end as b from spans),
+e as (select c.instrument, c.action, c.day, case c.action when 'enter' then r.start when 'leave' then r.b end as edge, r.instrument as ri from c left join r on r.instrument = c.instrument),
+w as (select instrument, action, day, count(ri) as n, arg_min(edge, row(abs(edge - day), edge)) as nearest, min(abs(edge - day)) as gap from e group by all)
+select 'A' as index_code, instrument, action, day, nearest, gap, case when n = 0 then 'no run' when action = 'join' then 'unknown action' when gap is null then 'still a member' when gap <= 300 then 'match' else 'too far' end as verdict from w""")
+def membership_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring("instrument", 2, 2).cast("int") % 5
+    action = F.when(n == 0, "join").when(n <= 2, "enter").otherwise("leave")
+    cases = registry(spark, sf_dir).select(F.lit("A").alias("index_code"), "instrument", action.alias("action"), F.col("delist_date").alias("day"))
+    return validation.membership_cases(spans(spark, sf_dir).withColumn("index_code", F.lit("A")), cases, 300)
+
+
+@query("aligned_panel", """+ own as (select * from bars where datetime >= date '1993-01-04' + 21 * cast(substr(instrument, 2) as int)), f as (select instrument, min(datetime) as first from own group by 1),
+g as (select c.datetime, f.instrument, c.idx, min(c.idx) over (partition by f.instrument) as start_index from f join cal c on c.datetime >= f.first)
+select g.datetime, g.instrument, g.start_index, own.close, own.volume, cast(null as double) as pe from g left join own on own.instrument = g.instrument and own.datetime = g.datetime""")
+def aligned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = v.bars(spark, sf_dir).where(F.col("datetime") >= F.date_add(F.to_date(F.lit("1993-01-04")), 21 * F.substring("instrument", 2, 2).cast("int")))
+    return panel.aligned(late.select("datetime", "instrument", "close", "volume"), days(spark, sf_dir), ("close", "volume", "pe"))
+
+
 @query("registry_defects", REGISTRY + """, r as (select instrument, date '1999-01-01' + 50 * cast(substr(instrument, 2) as int) as list_date, delist_date from reg), t as (select * from r union all select * from r where cast(substr(instrument, 2) as int) % 2 = 0)
 select distinct instrument, 'order' as why from t where delist_date < list_date union all select instrument, 'duplicate' from t group by 1 having count(*) > 1""")
 def registry_defects(spark: SparkSession, sf_dir: str) -> DataFrame:

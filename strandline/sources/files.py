@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.factors import by_time
-from strandline.operators.panel import calendar
+from strandline.operators.panel import aligned, calendar
 
 SPAN = "instrument string, start date, end date"
 DAY_VALUES = "map<string,double>"
@@ -90,6 +92,11 @@ def write_panel(panel: DataFrame, path: str) -> None:
     rows.repartition("year", F.pmod(F.xxhash64("instrument"), F.lit(32))).sortWithinPartitions("year", "instrument", "datetime").write.partitionBy("year").parquet(path, mode="overwrite")
 
 
+def write_aligned(panel: DataFrame, days: DataFrame, path: str, fields: Sequence[str] = ("open", "high", "low", "close", "volume", "money")) -> None:
+    """The panel aligned to the calendar from each name's first day, every field a FLOAT, missing ones NULL; files as write_panel's."""
+    write_panel(aligned(panel, days, fields).select("datetime", "instrument", "start_index", *[F.col(c).cast("float") for c in fields]), path)
+
+
 def random_panel(spark: SparkSession, instruments: int, days: int, seed: int) -> DataFrame:
     """A log-normal walk a name: (datetime, instrument, close, volume), made where it is read; a row a weekday."""
     cells = spark.range(instruments * days).select(F.floor(F.col("id") / days).alias("i"), (F.col("id") % days).cast("int").alias("t"))

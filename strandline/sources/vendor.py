@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.codes import compact_date, to_prefixed
+from strandline.operators import ingest, validation
 from strandline.sources.files import SPAN, refuse
+from strandline.sources.shared import kept_table, new_path
 
 #: The vendor's daily fields.
 BASICS = ("pe", "pb", "ps", "turnover_rate", "circ_mv", "total_mv")
@@ -85,6 +87,35 @@ def read_index_weights(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("index_code", _day("trade_date").alias("datetime"), to_prefixed(F.col("con_code")).alias("instrument"))
 
 
+def resolve_membership(spark: SparkSession, source: str, target: str, indexes: Sequence[str] | None = None, cases: DataFrame | None = None, most_days: int = 45) -> DataFrame:
+    """Index snapshots to files of spans; returns (index_code, n_runs, n_names, earliest, latest), a row an index.
+
+    Every index (or those named, each of which must have a snapshot) gets target/spans/index_code=.../ (instrument, start, end; read_spans reads such a folder) and
+    target/coverage/index_code=.../, the day of its last snapshot; folders of other indexes stay as they are. cases: what
+    validation.membership_cases takes, held against the runs within most_days days; a case that does not match refuses, before anything is written."""
+    raw = read_index_weights(spark, source)
+    refuse(raw.where("index_code is null or datetime is null or instrument is null"), "a snapshot without index, day or name")
+    if indexes is not None:
+        asked = spark.createDataFrame([(i,) for i in indexes], "index_code string")
+        refuse(asked.join(raw.select("index_code").distinct(), "index_code", "left_anti"), "an index without snapshots")
+        raw = raw.join(asked.distinct(), "index_code", "left_semi")
+    runs = kept_table(ingest.membership(raw), new_path(spark, "membership"))
+    if cases is not None:
+        own = cases if indexes is None else cases.join(asked.distinct(), "index_code", "left_semi")
+        refuse(validation.membership_cases(runs, own, most_days).where("verdict <> 'match'"), "a known case that the runs do not show")
+    sorted_runs = runs.select("index_code", "instrument", "start", "end").repartitionByRange("index_code", "instrument").sortWithinPartitions("index_code", "instrument", "start")
+    sorted_runs.write.partitionBy("index_code").option("partitionOverwriteMode", "dynamic").csv(f"{target}/spans", sep="\t", mode="overwrite")
+    covered = runs.groupBy("index_code").agg(F.max("covered_to").cast("string").alias("last_snapshot"))
+    covered.write.partitionBy("index_code").option("partitionOverwriteMode", "dynamic").json(f"{target}/coverage", mode="overwrite")
+    return runs.groupBy("index_code").agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("instrument").alias("n_names"), F.min("start").alias("earliest"), F.max("covered_to").alias("latest"))
+
+
+def read_coverage(spark: SparkSession, target: str) -> DataFrame:
+    """(index_code, last_snapshot) of the stamps that resolve_membership wrote; an entry that holds no day is left out."""
+    stamps = spark.read.json(f"{target}/coverage", schema="index_code string, last_snapshot string")
+    return stamps.select("index_code", F.try_to_timestamp("last_snapshot", F.lit("yyyy-MM-dd")).cast("date").alias("last_snapshot")).where("last_snapshot is not null")
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(instrument, name, start, end, announced) of the history of names; end is NULL for the current one."""
     raw = require(spark.read.parquet(path), ("ts_code", "name", "start_date", "end_date", "ann_date"), path)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import codes
+from strandline.operators import panel as panels
 from strandline.plans import catalog
 from strandline.sources import files
 from strandline.streaming import streams
@@ -75,6 +76,18 @@ def test_wide_industries_and_panel(spark, tmp_path):
     assert back.count() == 900 and back.where("close > 0").select("datetime", "instrument").distinct().count() == 900
 
 
+def test_panel_aligned_from_each_names_first_day(spark, tmp_path):
+    days = panels.calendar(spark.sql("select explode(array(date'2024-01-02', date'2024-01-03', date'2024-01-05', date'2024-01-08')) as datetime"))
+    rows = spark.createDataFrame([("a", "2024-01-03", "1.5"), ("a", "2024-01-08", "x"), ("b", "2024-01-02", "2"), ("b", "2024-01-02", "3"), ("c", "2024-01-04", "9"), (None, "2024-01-02", "1")], "instrument string, datetime string, close string").withColumn("datetime", F.to_date("datetime"))
+    files.write_aligned(rows, days, str(tmp_path / "p"), ("close", "money"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert dict(back.dtypes)["close"] == dict(back.dtypes)["money"] == "float"
+    got = sorted((r.instrument, r.datetime.day, r.start_index, r.close, r.money) for r in back.collect())
+    want = [("a", 3, 1, 1.5, None), ("a", 5, 1, None, None), ("a", 8, 1, None, None), ("b", 2, 0, 2.0, None), ("b", 3, 0, None, None), ("b", 5, 0, None, None), ("b", 8, 0, None, None), ("c", 5, 2, None, None), ("c", 8, 2, None, None)]
+    assert got == want
+    assert panels.aligned(rows.limit(0), days, ("close",)).count() == 0 and panels.aligned(rows, days.limit(0), ("close",)).count() == 0
+
+
 def test_codes(spark):
     row = spark.range(1).select(
         codes.to_prefixed(F.lit("600000.SH")).alias("a"), codes.to_suffixed(F.lit("SZ000001")).alias("b"), codes.to_prefixed(F.lit("x")).alias("c"), codes.compact_date(F.lit("20240131")).cast("string").alias("d"), codes.compact_date(F.lit("20240231")).alias("e"),

@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import folds, ingest, panel, schedule
-from strandline.sources import vendor
+from strandline.operators import folds, ingest, panel, schedule, validation
+from strandline.sources import files, vendor
 
 
 def day(text):
@@ -66,6 +66,52 @@ def test_snapshots_names_and_statements(spark, tmp_path):
     assert [r.x for r in vendor.read_statements(spark, str(tmp_path / "s"), "cashflow").collect()] == [2.0]
 
 
+def snapshots(spark, path, rows):
+    spark.createDataFrame(rows, "index_code string, con_code string, trade_date string").write.parquet(path, mode="overwrite")
+    return path
+
+
+def test_membership_from_files_to_spans_and_stamps(spark, tmp_path):
+    target, path = str(tmp_path / "out"), str(tmp_path / "w")
+    months = ["20240131", "20240229", "20240329"]
+    rows = [("A.SH", "600000.SH", m) for m in months] + [("A.SH", "000001.SZ", months[0]), ("A.SH", "000001.SZ", months[2]), ("B.SH", "600000.SH", months[0])]
+    got = {r.index_code: tuple(r)[1:] for r in vendor.resolve_membership(spark, snapshots(spark, path, rows), target).collect()}
+    assert got == {"A.SH": (3, 2, day("2024-01-31"), day("2024-03-29")), "B.SH": (1, 1, day("2024-01-31"), day("2024-01-31"))}
+    spans = files.read_spans(spark, f"{target}/spans/index_code=A.SH")
+    assert sorted(map(tuple, spans.collect())) == [("SH600000", day("2024-01-31"), day("2099-12-31")), ("SZ000001", day("2024-01-31"), day("2024-01-31")), ("SZ000001", day("2024-03-29"), day("2099-12-31"))]
+    assert sorted(map(tuple, vendor.read_coverage(spark, target).collect())) == [("A.SH", day("2024-03-29")), ("B.SH", day("2024-01-31"))]
+
+    # One index anew: the other's files and stamp stay. An entry that is no day is left out until its index is resolved again.
+    later = snapshots(spark, str(tmp_path / "w2"), rows + [("B.SH", "000001.SZ", "20240430")])
+    assert [r.index_code for r in vendor.resolve_membership(spark, later, target, ["B.SH"]).collect()] == ["B.SH"]
+    assert sorted(map(tuple, vendor.read_coverage(spark, target).collect())) == [("A.SH", day("2024-03-29")), ("B.SH", day("2024-04-30"))]
+    assert files.read_spans(spark, f"{target}/spans/index_code=A.SH").count() == 3
+    spark.createDataFrame([("A.SH", "soon")], "index_code string, last_snapshot string").write.partitionBy("index_code").option("partitionOverwriteMode", "dynamic").json(f"{target}/coverage", mode="overwrite")
+    assert [r.index_code for r in vendor.read_coverage(spark, target).collect()] == ["B.SH"]
+    with pytest.raises(ValueError):
+        vendor.resolve_membership(spark, path, target, ["C.SH"])
+
+
+def test_known_cases_of_membership(spark, tmp_path):
+    schema = "index_code string, instrument string, action string, day date"
+    spans = spark.createDataFrame([("A", "x", day("2024-01-31"), day("2024-02-29")), ("A", "x", day("2024-04-30"), day("2099-12-31")), ("A", "y", day("2024-01-31"), day("2099-12-31"))], "index_code string, instrument string, start date, end date")
+    cases = [("x", "enter", "2024-04-20", "match"), ("x", "leave", "2024-02-20", "match"), ("x", "leave", "2024-08-20", "too far"), ("y", "leave", "2024-02-20", "still a member"), ("z", "enter", "2024-02-20", "no run"), ("z", "join", "2024-02-20", "no run"), ("x", "join", "2024-02-20", "unknown action"), ("x", None, "2024-02-20", "unknown action")]
+    table = spark.createDataFrame([("A", i, a, day(d)) for i, a, d, _ in cases] * 2, schema)
+    got = {(r.instrument, r.action, str(r.day)): r.verdict for r in validation.membership_cases(spans, table, 15).collect()}
+    assert got == {(i, a, d): v for i, a, d, v in cases}
+    # Equally near edges: the earlier. No day and no index: no match.
+    odd = validation.membership_cases(spans, spark.createDataFrame([("A", "x", "enter", day("2024-03-16")), ("A", "x", "enter", None), (None, "x", "enter", day("2024-04-30"))], schema), 50).collect()
+    assert {(r.index_code, r.day): (r.nearest, r.verdict) for r in odd} == {("A", day("2024-03-16")): (day("2024-01-31"), "match"), ("A", None): (day("2024-01-31"), "too far"), (None, day("2024-04-30")): (None, "no run")}
+    assert validation.membership_cases(spans, table.limit(0), 15).count() == 0
+
+    path = snapshots(spark, str(tmp_path / "w"), [("A", "600000.SH", "20240131"), ("A", "000001.SZ", "20240131"), ("A", "000001.SZ", "20240229")])
+    fine = spark.createDataFrame([("A", "SH600000", "leave", day("2024-02-05"))], schema)
+    assert vendor.resolve_membership(spark, path, str(tmp_path / "out"), cases=fine).count() == 1
+    with pytest.raises(ValueError, match="known case"):
+        vendor.resolve_membership(spark, path, str(tmp_path / "none"), cases=fine.withColumn("action", F.lit("enter")).withColumn("day", F.lit("2020-01-01").cast("date")))
+    assert not (tmp_path / "none").exists()
+
+
 def test_artifact_and_benchmark_summaries(spark, tmp_path):
     (tmp_path / "a.csv").write_text(" Trade_Date ,code\n2024-01-02,A\n2024-01-02,B\n2024-01-05,A\nsoon,A\n,\n")
     got = vendor.artifact_summary(vendor.read_table(spark, str(tmp_path / "a.csv")), "trade_date", "2024-01-03").first()
