@@ -82,12 +82,13 @@ def index_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.membership(t.select(F.col("l_returnflag").alias("index_code"), F.concat(F.lit("I"), F.lpad((F.col("l_suppkey") % 40).cast("string"), 2, "0")).alias("instrument"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("datetime")))
 
 
-LEVELS = "+ lv as (select cast(date_trunc('week', o_orderdate) as date) as datetime, round(avg(o_totalprice), 2) as close, round(max(o_totalprice), 2) as high from orders group by 1)"
+# Means of an even number of cents end in half a cent; a little off, engines round them alike.
+LEVELS = "+ lv as (select cast(date_trunc('week', o_orderdate) as date) as datetime, round(avg(o_totalprice) + 1e-6, 2) as close, round(max(o_totalprice), 2) as high from orders group by 1)"
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("datetime")).agg(F.round(F.avg("o_totalprice"), 2).alias("close"), F.round(F.max("o_totalprice"), 2).alias("high"))
+    return o.groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("datetime")).agg(F.round(F.avg("o_totalprice") + 1e-6, 2).alias("close"), F.round(F.max("o_totalprice"), 2).alias("high"))
 
 
 @query("benchmark_bars", LEVELS + """, x as (select lv.* from lv where day(datetime) <= 20 and datetime in (select datetime from cal))
@@ -267,14 +268,14 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("profit_over_equity", RATIOS + " select key, round((revenue - oper_cost - sell_exp - admin_exp - fin_exp) / case when equity > 0 then equity end, 6) as c2 from x")
+@query("profit_over_equity", RATIOS + " select key, round((revenue - oper_cost - sell_exp - admin_exp - fin_exp) / case when equity > 0 then equity end + 1e-9, 6) as c2 from x")
 def profit_over_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratios(spark, sf_dir).select("key", F.round(statements.profit_over_equity(), 6).alias("c2"))
+    return ratios(spark, sf_dir).select("key", off_ties(statements.profit_over_equity()).alias("c2"))
 
 
-@query("cash_profit_over_assets", RATIOS + " select key, round((revenue - oper_cost - sell_exp - admin_exp - (a - b) - (2 * a - b) - (3 * a - b) + (5 * a - b) + (coalesce(adv, con) - coalesce(con, adv))) / case when total_assets > 0 then total_assets end, 6) as c3 from x")
+@query("cash_profit_over_assets", RATIOS + " select key, round((revenue - oper_cost - sell_exp - admin_exp - (a - b) - (2 * a - b) - (3 * a - b) + (5 * a - b) + (coalesce(adv, con) - coalesce(con, adv))) / case when total_assets > 0 then total_assets end + 1e-9, 6) as c3 from x")
 def cash_profit_over_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratios(spark, sf_dir).select("key", F.round(statements.cash_profit_over_assets(), 6).alias("c3"))
+    return ratios(spark, sf_dir).select("key", off_ties(statements.cash_profit_over_assets()).alias("c3"))
 
 
 PERIODS = """+ x as (select o_orderkey as key, last_day(cast(o_orderdate as date)) as p, case when o_custkey % 4 = 0 then null when o_custkey % 4 = 1 then last_day(cast(o_orderdate as date) + interval 3 month) else last_day(cast(o_orderdate as date)) end as q, last_day(cast(last_day(cast(o_orderdate as date)) - interval (case when o_custkey % 5 = 0 then 6 else 3 end) month as date)) as r, o_totalprice as v from orders)"""
