@@ -36,7 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, with the shard and the slot that each goes to: 40 shards of near-equal bytes, whose slots follow the mix. A null text counts as empty."""
+    """The documents, with the shard and the slot that each goes to: 40 shards of near-equal bytes, whose slots follow the mix. A null text counts as empty; null ids and repeated rows have places of their own.
+    Columns of the input named size, text_crc32, law, shard, slot or grown_shard give way to the stage's own."""
     # A table that is read again has no order, so the positions come from the schedule once more, the same for the same rows.
     # Texts are moved once, at the end: rows meet their places by a hash of all columns, equal rows one to one.
     rid = F.xxhash64(*[docs[c] for c in docs.columns])
@@ -44,7 +45,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     nth = Window.partitionBy("_rid").orderBy("slot", "shard")
     places = shards.place_rows(rows, keep=("_rid",), along="position").withColumn("_m", F.row_number().over(nth)).select(F.col("_rid").alias("_r"), "_m", *new)
-    own = docs.drop(*new).withColumn("_rid", rid).withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_rid")))
+    own = docs.withColumn("_rid", rid).drop(*new).withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_rid")))
     return own.join(places, (own["_rid"] == places["_r"]) & (own["_n"] - places["_m"] == 0)).drop("_rid", "_n", "_r", "_m")
 
 
