@@ -156,6 +156,6 @@ def spearman(wide: DataFrame, names: Sequence[str], keys: Sequence[str] = ("date
     # A set may hold pairs that have more rows in common; each pair counts in its own set.
     klass = rows.sparkSession.createDataFrame([(names[k], c) for k, c in enumerate(of)], "name string, c int")
     wanted = rows.sparkSession.createDataFrame([(c, d, s) for (c, d), s in between.items()], "c int, d int, s int")
-    both = found.join(F.broadcast(klass.withColumnsRenamed({"name": "a", "c": "_a"})), "a").join(F.broadcast(klass.withColumnsRenamed({"name": "b", "c": "_b"})), "b")
+    both = found.join(klass.withColumnsRenamed({"name": "a", "c": "_a"}), "a").join(klass.withColumnsRenamed({"name": "b", "c": "_b"}), "b")
     on = (F.least("_a", "_b") == F.col("c")) & (F.greatest("_a", "_b") == F.col("d")) & (F.col("g") == F.col("s"))
-    return both.join(F.broadcast(wanted), on).select("a", "b", "n", "corr")
+    return both.join(wanted, on).select("a", "b", "n", "corr")

@@ -185,15 +185,15 @@ def panel_subset(long: DataFrame, scores: DataFrame, benchmarks: Sequence[str],
 
 def delistings_in_folds(registry: DataFrame, folds: DataFrame, members: DataFrame, lookback: int) -> DataFrame:
     """(fold, instrument, delist_date) of names that a fold holds and that delist in it or up to lookback days before.
-    folds: (fold, start, end), few; members: (fold, instrument)."""
-    near = members.join(F.broadcast(folds), "fold").join(registry, "instrument")
+    folds: (fold, start, end); members: (fold, instrument)."""
+    near = members.join(folds, "fold").join(registry, "instrument")
     return near.where(F.col("delist_date").between(F.date_sub("start", lookback), F.col("end"))).select("fold", "instrument", "delist_date").distinct()
 
 
 def shortfalls(last_days: DataFrame, expected: DataFrame, ratio: float, least: int) -> DataFrame:
     """(year, n_short, n_names, systemic): names whose last day of a year lies before the expected one; systemic from both a share and a number on.
-    last_days: (year, instrument, last); expected: (year, end), few."""
-    sums = last_days.join(F.broadcast(expected), "year").groupBy("year").agg(F.count_if(F.col("last") < F.col("end")).alias("n_short"), F.count(F.lit(1)).alias("n_names"))
+    last_days: (year, instrument, last); expected: (year, end)."""
+    sums = last_days.join(expected, "year").groupBy("year").agg(F.count_if(F.col("last") < F.col("end")).alias("n_short"), F.count(F.lit(1)).alias("n_names"))
     return sums.withColumn("systemic", (F.col("n_short") >= least) & (F.col("n_short") > F.col("n_names") * ratio))
 
 

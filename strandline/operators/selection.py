@@ -99,10 +99,10 @@ def held_returns(panel: DataFrame, stamps: DataFrame) -> DataFrame:
     """(signal, instrument, ret, state) from the close at `execution` to the last close up to `horizon_end`.
 
     state: held, truncated (no close on the last session), flat (no close after entry; ret 0). Names without a close at
-    execution have no row. stamps: (signal, execution, horizon_end), dates; windows do not overlap by more than a few, so that
-    the table of the days of all windows, which the panel meets by the day, is small."""
+    execution have no row. stamps: (signal, execution, horizon_end), dates; the panel meets
+    the days of all windows by the day, so work follows the windows' overlap; that table is broadcast only where its measured size allows."""
     s = stamps.where("execution <= horizon_end").select(F.explode(F.sequence("execution", "horizon_end")).alias("_d"), "signal", "execution", "horizon_end")
-    rows = panel.where("close is not null").join(F.broadcast(s), F.col("datetime") == F.col("_d"))
+    rows = panel.where("close is not null").join(s, F.col("datetime") == F.col("_d"))
     later = F.col("datetime") > F.col("execution")
     out = rows.groupBy("signal", "instrument").agg(
         F.max(F.when(~later, F.col("close"))).alias("_in"), F.max_by(F.when(later, F.col("close")), F.when(later, F.col("datetime"))).alias("_out"),
@@ -181,7 +181,7 @@ def counter_draws(trials: DataFrame, counters: DataFrame, seed: int, block: int
 
     trials: (trial, pos, x), pos numbered from 0. Counter c's block j starts at the first 32 bits of md5('seed:c:j') modulo the number of positions."""
     means = trials.groupBy("trial").agg(F.avg("x").alias("_m"))
-    flat = trials.join(F.broadcast(means), "trial").select("trial", F.col("pos").alias("_p"), (F.col("x") - F.col("_m")).alias("x"))
+    flat = trials.join(means, "trial").select("trial", F.col("pos").alias("_p"), (F.col("x") - F.col("_m")).alias("x"))
     span = trials.agg((F.max("pos") + 1).alias("m"), F.countDistinct("trial").alias("k"))
     at = counters.join(F.broadcast(span), how="cross").select("c", "m", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("c").cast("string"), F.floor(F.col("i") / block).cast("string"))), 1, 8), 16, 10).cast("long")
