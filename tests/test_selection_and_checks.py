@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import selection, universe, validation
@@ -68,5 +69,8 @@ def test_checks_find_absent_and_repeated(spark):
 
 def test_flat_trials_leave_the_bar(spark):
     flat = spark.createDataFrame([("a", i, 1.0) for i in range(8)] + [("b", i, float(i)) for i in range(8)], "trial string, pos int, x double")
-    assert [r["max_t"] for r in selection.family_draws(flat, 5, 1).collect()] == [None] * 5
-    assert {r["trial"]: r["passed"] for r in selection.adjudicated(flat, selection.family_draws(flat, 5, 1)).collect()} == {"a": False, "b": False}
+    # A trial that never varies has no valid draw, so redrawing ends in an error; a bar without draws lets nothing pass.
+    with pytest.raises(ValueError, match="does not vary"):
+        selection.family_draws(flat, 5, 1)
+    none = spark.createDataFrame([(b, None) for b in range(5)], "b long, max_t double")
+    assert {r["trial"]: r["passed"] for r in selection.adjudicated(flat, none).collect()} == {"a": False, "b": False}
