@@ -290,11 +290,41 @@ def could_be_alike(size: int, similarity: float, figures: dict[str, F.Column] |
     return ~known | (shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), x["n_u"] + x["n_v"] - shared))
 
 
+#: Longs of a text's marks.
+MARKS = 8
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """(th, size, marks): the size of a sketch and, for each of 64 * MARKS places, whether an odd number of its hashes falls there.
+
+    Hashes that only one of two sketches has change one mark each, so the marks that differ are at most these hashes."""
+    schema = pa.schema([("th", pa.int64()), ("size", pa.int32()), ("marks", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sk = batch.column("sk")
+            sizes = sk.value_lengths().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(sizes)), sizes) * (64 * MARKS) + sk.flatten().to_numpy(zero_copy_only=False) % (64 * MARKS)
+            odd = (np.bincount(at, minlength=len(sizes) * 64 * MARKS) & 1).astype(np.uint8)
+            words = np.packbits(odd, bitorder="little").view(np.int64)
+            yield to_batch({"th": batch.column("th"), "size": sizes, "marks": pa.array(list(words.reshape(len(sizes), MARKS)), type=pa.list_(pa.int64()))}, schema)
+
+    return texts.select("th", "sk").mapInArrow(run, "th long, size int, marks array<long>")
+
+
+def alike_by_marks(size: int, similarity: float) -> F.Column:
+    """Whether two texts (size_u, marks_u, size_v, marks_v) may reach the similarity: half of what both hold without the marks that differ is the most that they share."""
+    differ = sum((F.bit_count(F.col("marks_u")[i].bitwiseXOR(F.col("marks_v")[i])) for i in range(1, MARKS)), F.bit_count(F.col("marks_u")[0].bitwiseXOR(F.col("marks_v")[0])))
+    both = F.col("size_u") + F.col("size_v")
+    shared = (both - differ) / 2
+    return shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), both - shared)
+
+
 def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int) -> DataFrame:
     """(node, label) of texts (th, fps, sk) that have others alike, by th; label: the least th of a component.
 
     Every pair of texts of which a fingerprint differs in most_bits or fewer, or not at all, is compared by sketch, unless
-    links found before join both already, or so many hashes of one are its own that they cannot be alike. So components
+    links found before join both already, or so many hashes of one are its own, or so many marks of both differ, that they cannot be alike. So components
     are those of all such pairs, and a dense group makes few pairs, be its texts alike (its stars join them) or not
     (each has too much of its own). Figures of lone hashes are of the texts in coarse cells of two or more, and used
     between these alone.
@@ -324,13 +354,17 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
     parts = {f"{x}_{c}": F.expr(f"figures_{c} {op} {size + 1}").cast("int") for c in "uv" for x, op in (("n", "div"), ("lone", "%"))}
     links = fingerprint_links(packed.repartition("k", "fp"), most_bits, "k", ("known", "figures"), not_joined() & could_be_alike(size, similarity, parts))
     several = own.where("texts > 1 and known is null").select("k", F.col("fp").alias("u"), F.col("fp").alias("v"))
-    one, two = (placed.select("k", F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone"))) for c in "uv")
+    # Marks are fetched for the texts of links alone, and leave few of the pairs of a dense group whose texts are not alike.
+    met = links.select("k", "u", "v").unionByName(several)
+    ends = met.select("k", F.explode(F.array("u", "v")).alias("fp")).distinct()
+    members = settle(placed.join(ends, ["k", "fp"], "left_semi").join(marks(texts), "th"), "near-members")
+    one, two = (members.select("k", F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone", "size", "marks"))) for c in "uv")
     apart = open_pair & ((F.col("u") < F.col("v")) | (F.col("th_u") < F.col("th_v")))
-    pairs = links.select("k", "u", "v").unionByName(several).join(one, ["k", "u"]).join(two, ["k", "v"]).where(apart)
+    pairs = met.join(one, ["k", "u"]).join(two, ["k", "v"]).where(apart & alike_by_marks(size, similarity))
     pairs = settle(pairs.select(F.least("th_u", "th_v").alias("u"), F.greatest("th_u", "th_v").alias("v")).distinct(), "near-pairs")
     edges = verified(pairs, "near-edges")
     found = link_components(edges.union(stars), "near-links")
-    release(cells, tried, lone, placed, own, links, pairs)
+    release(cells, tried, lone, placed, own, links, members, pairs)
     return found
 
 

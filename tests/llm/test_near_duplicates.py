@@ -82,3 +82,16 @@ def test_bounds_say_yes_to_what_is_not_known(spark):
     rows = [(100, 30, 100, 0, False), (100, 10, 100, 10, True), (100, 12, 100, 0, False), (100, 12, 88, 0, True), (192, 39, 192, 0, False), (192, 38, 192, 0, True)]
     got = spark.createDataFrame(rows, "n_u int, lone_u int, n_v int, lone_v int, want boolean").select(ok.alias("x"), "want").collect()
     assert all(r.x == r.want for r in got)
+
+
+def test_marks_leave_alike_texts_alone_and_few_others(spark):
+    """A ball of sketches around one: every pair that is alike may be so by its marks, and few of those that are not."""
+    rng = random.Random(5)
+    centre = rng.sample(range(1 << 31), 90)
+    sets = [sorted(set(rng.sample(centre, rng.randint(70, 90)) + rng.sample(range(1 << 31), rng.randint(0, 8)))) for _ in range(60)] + [[], [], centre[:1]]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "th long, sk array<int>")
+    one, two = (simhash.marks(texts).join(texts, "th").select(*(F.col(x).alias(f"{x}_{c}") for x in ("th", "size", "marks", "sk"))) for c in "uv")
+    pairs = one.join(two, F.col("th_u") < F.col("th_v"))
+    got = pairs.select((simhash.likeness(F.col("sk_u"), F.col("sk_v"), 192) >= 0.8).alias("alike"), simhash.alike_by_marks(192, 0.8).alias("maybe")).collect()
+    unlike = [r.maybe for r in got if not r.alike]
+    assert any(r.alike for r in got) and all(r.maybe for r in got if r.alike) and sum(unlike) < len(unlike) / 4
