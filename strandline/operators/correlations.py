@@ -13,21 +13,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Factors a side of a block, and what is held of a pair (i, j): rows with both, then sums over these rows.
+#: Factors a side of a block, and what is held of a pair (i, j): rows with both, then sums over these rows of values less their factor's centre (cx, cy).
 BLOCK = 128
 SUMS = ("n", "x", "y", "xx", "yy", "xy")
-BLOCKS = "g int, i int, j int, " + ", ".join(f"{s} array<double>" for s in SUMS)
+BLOCKS = "g int, i int, j int, " + ", ".join(f"{s} array<double>" for s in (*SUMS, "cx", "cy"))
 
 
 def pair_sums(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Sums of all pairs of places i <= j of the arrays v, in blocks, for each group g of rows (g, v array<double>); null and NaN are missing.
 
     All arrays of a group have one length. A task holds the sums of its groups: six numbers for each pair of factors,
-    whatever the number of rows. Result: (g, i, j, sums ...), i and j numbers of blocks.
+    whatever the number of rows. Result: (g, i, j, sums ..., cx, cy), i and j numbers of blocks. A task centres each factor on the
+    mean of the first batch that has it, so large offsets cost no digits and rows are read once; sums are moved to one centre as they are added.
     """
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
+        centres: dict[int, np.ndarray] = {}
         for batch in batches:
             groups = batch.column("g").to_numpy()
             for g in np.unique(groups):
@@ -36,8 +38,12 @@ def pair_sums(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     continue
                 x = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 there = np.isfinite(x)
-                x = np.where(there, x, 0.0)
                 m = there.astype(np.float64)
+                x = np.where(there, x, 0.0)
+                c = centres.setdefault(int(g), np.full(x.shape[1], np.nan))
+                new = np.isnan(c) & there.any(axis=0)
+                c[new] = x[:, new].sum(axis=0) / m[:, new].sum(axis=0)
+                x = np.where(there, x - c, 0.0)
                 sums = [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
                 total[int(g)] = [a + b for a, b in zip(total[int(g)], sums, strict=True)] if int(g) in total else sums
         for g, (n, x, xx, xy) in total.items():
@@ -46,11 +52,21 @@ def pair_sums(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     at = np.s_[i : i + block, j : j + block]
                     other = np.s_[j : j + block, i : i + block]
                     parts = (n[at], x[at], x[other].T, xx[at], xx[other].T, xy[at])
-                    yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (g, i // block, j // block)), *(pa.array([p.ravel()], pa.list_(pa.float64())) for p in parts)], ["g", "i", "j", *SUMS])
+                    ends = (centres[g][i : i + block], centres[g][j : j + block])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (g, i // block, j // block)), *(pa.array([p.ravel()], pa.list_(pa.float64())) for p in (*parts, *ends))], ["g", "i", "j", *SUMS, "cx", "cy"])
 
     def added(table: pa.Table) -> pa.Table:
-        sums = [pa.array([np.stack(table.column(s).to_numpy()).sum(axis=0)], pa.list_(pa.float64())) for s in SUMS]
-        return pa.table([*(table.column(k).slice(0, 1) for k in ("g", "i", "j")), *sums], names=["g", "i", "j", *SUMS])
+        cx, cy = (np.stack(table.column(c).to_numpy()) for c in ("cx", "cy"))
+        # The first centre that there is; a task without the factor has none and nothing to move.
+        to = [c[np.isfinite(c).argmax(axis=0), np.arange(c.shape[1])] for c in (cx, cy)]
+        total = [0.0] * len(SUMS)
+        for k in range(table.num_rows):
+            n, x, y, xx, yy, xy = (table.column(s)[k].values.to_numpy().reshape(cx.shape[1], cy.shape[1]) for s in SUMS)
+            dx, dy = np.nan_to_num(cx[k] - to[0])[:, None], np.nan_to_num(cy[k] - to[1])[None, :]
+            moved = (n, x + n * dx, y + n * dy, xx + 2 * dx * x + n * dx * dx, yy + 2 * dy * y + n * dy * dy, xy + dx * y + dy * x + n * dx * dy)
+            total = [a + b for a, b in zip(total, moved, strict=True)]
+        sums = [pa.array([p.ravel()], pa.list_(pa.float64())) for p in (*total, *to)]
+        return pa.table([*(table.column(k).slice(0, 1) for k in ("g", "i", "j")), *sums], names=["g", "i", "j", *SUMS, "cx", "cy"])
 
     return rows.select("g", "v").mapInArrow(products, BLOCKS).groupBy("g", "i", "j").applyInArrow(added, BLOCKS)
 
@@ -81,10 +97,8 @@ def finite(name: str) -> Column:
 
 
 def pearson(wide: DataFrame, names: Sequence[str], least: int = 3) -> DataFrame:
-    """(a, b, n, corr) of all pairs of the named columns, over the rows where both are finite. Columns are centred on their means first, so large offsets cost no digits."""
-    values = {c: F.when(finite(c), F.col(c).cast("double")) for c in names}
-    means = wide.agg(*[F.avg(x).alias(c) for c, x in values.items()]).first()
-    row = F.array(*[values[c] - F.lit(means[c] or 0.0) for c in names])
+    """(a, b, n, corr) of all pairs of the named columns, over the rows where both are finite. wide is read once."""
+    row = F.array(*[F.when(finite(c), F.col(c).cast("double")) for c in names])
     return pairs_of(pair_sums(wide.select(F.lit(0).alias("g"), row.alias("v"))), {0: list(names)}, least).drop("g")
 
 

@@ -215,3 +215,20 @@ def test_sets_to_rank_over():
 
 def test_rolling_functions_still_say_when_they_lack_rows(dense):
     assert dense.select(f.ts_mean(F.col("close"), 50).alias("x")).where("x is not null").count() == 0
+
+
+def test_pearson_reads_rows_once_and_moves_centres(spark):
+    """Tasks of other means, a factor that most tasks lack at first, a large offset, a flat factor; no pass over the rows before they are asked for."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=400) + np.repeat([0.0, 50.0, -3.0, 7.0], 100)
+    y, z = 1e9 + x * 0.3 + rng.normal(size=400), rng.normal(size=400) + x
+    rows = [(float(a), float(b), float(c) if k % 150 > 110 else None, 5e8) for k, (a, b, c) in enumerate(zip(x, y, z, strict=True))]
+    names = ["x", "y", "z", "flat"]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "x double, y double, z double, flat double")
+    got = {(r.a, r.b): (r.n, r["corr"]) for r in correlations.pearson(df, names).collect()}
+    there = np.array([r[2] is not None for r in rows])
+    for a, b, own, u, v in (("x", "y", there | True, x, y), ("x", "z", there, x, z), ("y", "z", there, y, z)):
+        assert got[a, b][0] == own.sum() and got[a, b][1] == pytest.approx(np.corrcoef(u[own], v[own])[0, 1], abs=1e-6)
+    assert got["x", "flat"] == (400, None)
+    bad = spark.range(1).select(F.raise_error(F.lit("read")).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    correlations.pearson(bad, ["x", "y"])
