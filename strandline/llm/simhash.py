@@ -151,12 +151,13 @@ def not_joined() -> F.Column:
     return ~F.coalesce(F.col("known_u") == F.col("known_v"), F.lit(False))
 
 
-def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None, extra: Sequence[str] = (), keep: F.Column | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None, extra: Sequence[str] = (), keep: F.Column | None = None, own: str | None = None) -> DataFrame:
     """Pairs (u, v), u < v, of distinct fingerprints `fp` that differ in at most most_bits (0 to 4) bits.
 
     With `of`, an integer column from 0 to 32767, fingerprints are distinct and linked for each of its values by itself, and pairs carry it.
     Columns `extra` stand beside both sides as <name>_u and <name>_v for `keep`, a condition on pairs that is part of
-    the join, so pairs that are known to be joined already or to fail are never made. Null fingerprints meet nothing.
+    the join, so pairs that are known to be joined already or to fail are never made. With `own`, one of these columns, several
+    rows may have one fingerprint: those of different `own` (null is one value) are linked too, and pairs carry both. Null fingerprints meet nothing.
     """
     types = {c: fps.schema[c].dataType.simpleString() for c in extra}
 
@@ -174,11 +175,15 @@ def fingerprint_links(fps: DataFrame, most_bits: int = 4, of: str | None = None,
     one = keys.where("side = 0").select("k", F.col("fp").alias("u"), *[F.col(c).alias(f"{c}_u") for c in extra])
     two = keys.where("side = 1").select("k", F.col("fp").alias("v"), *[F.col(c).alias(f"{c}_v") for c in extra])
     x = F.col("u").bitwiseXOR(F.col("v"))
-    near = (F.col("u") < F.col("v")) & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40).bitwiseAND(F.lit(255)))
+    once = F.col("u") < F.col("v")
+    if own:
+        a, b = F.col(f"{own}_u"), F.col(f"{own}_v")
+        once = once | ((F.col("u") == F.col("v")) & F.coalesce(a < b, a.isNull() & b.isNotNull()))
+    near = once & (F.bit_count(x) <= most_bits) & (first_rule(x) == F.shiftright(one["k"], 40).bitwiseAND(F.lit(255)))
     if keep is not None:
         near = near & keep
     apart = [F.shiftright(one["k"], 48).cast("int").alias(of)] if of else []
-    links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v", *apart), "fingerprint-links")
+    links = settle(one.join(two, (one["k"] == two["k"]) & near).select("u", "v", *apart, *([f"{own}_u", f"{own}_v"] if own else [])), "fingerprint-links")
     release(keys)
     return links
 
@@ -292,6 +297,8 @@ def could_be_alike(size: int, similarity: float, figures: dict[str, F.Column] |
 
 #: Longs of a text's marks.
 MARKS = 8
+#: Texts of a coarse cell from which on their marks go along with their fingerprints. It decides the effort alone.
+DENSE = 8
 
 
 def marks(texts: DataFrame) -> DataFrame:
@@ -312,10 +319,11 @@ def marks(texts: DataFrame) -> DataFrame:
     return texts.select("th", "sk").mapInArrow(run, "th long, size int, marks array<long>")
 
 
-def alike_by_marks(size: int, similarity: float) -> F.Column:
-    """Whether two texts (size_u, marks_u, size_v, marks_v) may reach the similarity: half of what both hold without the marks that differ is the most that they share."""
+def alike_by_marks(size: int, similarity: float, sizes: tuple[F.Column, F.Column] | None = None) -> F.Column:
+    """Whether two texts (size_u, marks_u, size_v, marks_v; sizes: columns, or as given) may reach the similarity: half of what both hold without the marks that differ is the most that they share."""
+    size_u, size_v = sizes or (F.col("size_u"), F.col("size_v"))
     differ = sum((F.bit_count(F.col("marks_u")[i].bitwiseXOR(F.col("marks_v")[i])) for i in range(1, MARKS)), F.bit_count(F.col("marks_u")[0].bitwiseXOR(F.col("marks_v")[0])))
-    both = F.col("size_u") + F.col("size_v")
+    both = size_u + size_v
     shared = (both - differ) / 2
     return shared >= F.lit(similarity - 1e-9) * F.least(F.lit(size), both - shared)
 
@@ -326,8 +334,9 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
     Every pair of texts of which a fingerprint differs in most_bits or fewer, or not at all, is compared by sketch, unless
     links found before join both already, or so many hashes of one are its own, or so many marks of both differ, that they cannot be alike. So components
     are those of all such pairs, and a dense group makes few pairs, be its texts alike (its stars join them) or not
-    (each has too much of its own). Figures of lone hashes are of the texts in coarse cells of two or more, and used
-    between these alone.
+    (each has too much of its own, or their marks tell them apart as they meet). Figures of lone hashes are of the texts in
+    coarse cells of two or more, and used between these alone; marks go with the texts of cells of DENSE or more, and are looked up
+    for the pairs of others.
     """
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (texts.select(F.col("th").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "uv")
@@ -342,29 +351,35 @@ def alike_texts(texts: DataFrame, most_bits: int, similarity: float, size: int)
     stars = verified(tried.join(sides[0], "u").join(sides[1], "v").where(could_be_alike(size, similarity)).select("u", "v"), "near-stars")
     joined = settle(link_components(stars, "near-stars"), "near-joined").select(F.col("node").alias("_n"), F.col("label").alias("known"))
     figures = lone.select(F.col("th").alias("_t"), "n", "lone")
-    placed = fps.join(joined, fps["th"] == joined["_n"], "left").join(figures, F.col("th") == F.col("_t"), "left")
-    placed = settle(placed.select("th", "k", "fp", "known", "n", "lone"), "near-placed")
+    crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= DENSE)
+    dense = cells.join(crowded, "cell", "left_semi").select(F.col("node").alias("th")).distinct()
+    # A text of a dense cell is a row of its own, `own`, with its marks.
+    known_marks = settle(marks(texts.join(dense, "th", "left_semi")).select(F.col("th").alias("own"), "marks"), "near-dense")
+    placed = fps.join(joined, fps["th"] == joined["_n"], "left").join(figures, F.col("th") == F.col("_t"), "left").join(known_marks.select("own"), F.col("th") == F.col("own"), "left")
+    placed = settle(placed.select("th", "k", "fp", "known", "n", "lone", "own"), "near-placed")
     # A fingerprint of several texts has no figures, and no `known` if they are not all joined, and so is left out of no pair.
     one_text = F.count(F.lit(1)) == 1
     whole = F.when((F.count("known") == F.count(F.lit(1))) & (F.min("known") == F.max("known")), F.min("known"))
-    own = settle(placed.groupBy("k", "fp").agg(whole.alias("known"), *(F.when(one_text, F.min(c)).alias(c) for c in ("n", "lone")), F.count(F.lit(1)).alias("texts")), "near-prints")
+    own = settle(placed.groupBy("k", "fp", "own").agg(whole.alias("known"), *(F.when(one_text, F.min(c)).alias(c) for c in ("n", "lone")), F.count(F.lit(1)).alias("texts")), "near-prints")
     open_pair = not_joined() & could_be_alike(size, similarity)
     # Both figures travel as one number.
-    packed = own.select("k", "fp", "known", (F.col("n") * (size + 1) + F.col("lone")).alias("figures"))
+    packed = own.join(known_marks, "own", "left").select("k", "fp", "own", "known", (F.col("n") * (size + 1) + F.col("lone")).alias("figures"), "marks")
     parts = {f"{x}_{c}": F.expr(f"figures_{c} {op} {size + 1}").cast("int") for c in "uv" for x, op in (("n", "div"), ("lone", "%"))}
-    links = fingerprint_links(packed.repartition("k", "fp"), most_bits, "k", ("known", "figures"), not_joined() & could_be_alike(size, similarity, parts))
-    several = own.where("texts > 1 and known is null").select("k", F.col("fp").alias("u"), F.col("fp").alias("v"))
-    # Marks are fetched for the texts of links alone, and leave few of the pairs of a dense group whose texts are not alike.
-    met = links.select("k", "u", "v").unionByName(several)
+    unlike = ~F.coalesce(alike_by_marks(size, similarity, (parts["n_u"], parts["n_v"])), F.lit(True))
+    links = fingerprint_links(packed.repartition("k", "fp"), most_bits, "k", ("own", "known", "figures", "marks"), not_joined() & could_be_alike(size, similarity, parts) & ~unlike, "own")
+    several = own.where("texts > 1 and known is null").select("k", F.col("fp").alias("u"), F.col("fp").alias("v"), F.col("own").alias("own_u"), F.col("own").alias("own_v"))
+    # Marks are fetched for the texts of links alone, and leave few of the pairs of a group whose texts are not alike.
+    met = links.select("k", "u", "v", "own_u", "own_v").unionByName(several)
     ends = met.select("k", F.explode(F.array("u", "v")).alias("fp")).distinct()
     members = settle(placed.join(ends, ["k", "fp"], "left_semi").join(marks(texts), "th"), "near-members")
-    one, two = (members.select("k", F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone", "size", "marks"))) for c in "uv")
-    apart = open_pair & ((F.col("u") < F.col("v")) | (F.col("th_u") < F.col("th_v")))
-    pairs = met.join(one, ["k", "u"]).join(two, ["k", "v"]).where(apart & alike_by_marks(size, similarity))
+    one, two = (members.select(F.col("k").alias(f"_k_{c}"), F.col("fp").alias(f"_{c}"), F.col("own").alias(f"_own_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("th", "known", "n", "lone", "size", "marks"))) for c in "uv")
+    same = [(F.col("k") == F.col(f"_k_{c}")) & (F.col(c) == F.col(f"_{c}")) & F.col(f"own_{c}").eqNullSafe(F.col(f"_own_{c}")) for c in "uv"]
+    apart = open_pair & ((F.col("u") < F.col("v")) | ~F.col("own_u").eqNullSafe(F.col("own_v")) | (F.col("th_u") < F.col("th_v")))
+    pairs = met.join(one, same[0]).join(two, same[1]).where(apart & alike_by_marks(size, similarity))
     pairs = settle(pairs.select(F.least("th_u", "th_v").alias("u"), F.greatest("th_u", "th_v").alias("v")).distinct(), "near-pairs")
     edges = verified(pairs, "near-edges")
     found = link_components(edges.union(stars), "near-links")
-    release(cells, tried, lone, placed, own, links, members, pairs)
+    release(cells, tried, lone, known_marks, placed, own, links, members, pairs)
     return found
 
 

@@ -95,3 +95,37 @@ def test_marks_leave_alike_texts_alone_and_few_others(spark):
     got = pairs.select((simhash.likeness(F.col("sk_u"), F.col("sk_v"), 192) >= 0.8).alias("alike"), simhash.alike_by_marks(192, 0.8).alias("maybe")).collect()
     unlike = [r.maybe for r in got if not r.alike]
     assert any(r.alike for r in got) and all(r.maybe for r in got if r.alike) and sum(unlike) < len(unlike) / 4
+
+
+def test_a_dense_group_of_unlike_texts_makes_few_links(spark, monkeypatch):
+    """Texts of nearly the same words, each with two words changed and two in another order: fingerprints are near, texts mostly are not. Components as by all pairs, few links of fingerprints."""
+    rng = random.Random(11)
+    base = rng.sample(WORDS, 160)
+
+    def moved(words):
+        i = rng.randrange(len(words) - 1)
+        return words[:i] + [words[i + 1], words[i]] + words[i + 2 :]
+
+    def other(words):
+        i = rng.randrange(len(words))
+        return words[:i] + [rng.choice(WORDS)] + words[i + 1 :]
+
+    texts = [moved(other(other(base))) for _ in range(110)]
+    texts += [moved(t) for t in texts[:15]] + [rng.sample(base, len(base)) for _ in range(5)]
+    texts = sorted({" ".join(t) for t in texts})
+    prints = [simhash.word_prints(t, 4) for t in texts]
+    sets = [set(simhash.sketch(t, 5, 192).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if any(bin((x ^ y) & (2**64 - 1)).count("1") <= 4 for x, y in zip(prints[i], prints[j]))]
+    alike = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    made, settle = {}, simhash.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "settle", counted)
+    assert kept(spark, texts) == sorted({1 + i for i in union(len(texts), alike)})
+    assert 0 < len(alike) < len(near) / 10
+    # Links of fingerprints come once for each of the four that are near.
+    assert made["fingerprint-links"] < len(near) / 4
