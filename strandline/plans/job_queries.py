@@ -13,15 +13,15 @@ from strandline.plans.registry import off_ties, query
 from strandline.plans.selection_queries import RANK_CORR, ranked
 from strandline.plans.signal_queries import FACTORS, IC, columns
 from strandline.sources import vendor
-from strandline.sources.shared import new_path
+from strandline.sources.shared import kept_table, new_path
 
 DAY = "yyyyMMdd"
 
 
-def vendor_files(spark: SparkSession, sf_dir: str) -> str:
+def vendor_files(spark: SparkSession, bars: DataFrame) -> str:
     """Bars, factors and daily fields as vendor files of two folders, where the second repeats days of the first, and so does the first itself."""
     root = new_path(spark, "vendor")
-    b = v.dense(spark, sf_dir).withColumns({"n": F.substring("instrument", 2, 2).cast("int"), "ts_code": F.concat(F.lit("6000"), F.substring("instrument", 2, 2), F.lit(".SH")), "trade_date": F.date_format("datetime", DAY)})
+    b = panel.densify(bars, panel.calendar(bars)).withColumns({"n": F.substring("instrument", 2, 2).cast("int"), "ts_code": F.concat(F.lit("6000"), F.substring("instrument", 2, 2), F.lit(".SH")), "trade_date": F.date_format("datetime", DAY)})
     first, again = F.lit(1.0), F.lit(3.0)
 
     def put(rows: DataFrame, table: str) -> None:
@@ -45,8 +45,10 @@ def vendor_files(spark: SparkSession, sf_dir: str) -> str:
 b as (select *, coalesce(last_value(fct ignore nulls) over w, 1.0) as f, count(close) over w as seen from a window w as (partition by instrument order by datetime rows between unbounded preceding and current row))
 select b.datetime, concat('SH6000', substr(b.instrument, 2, 2)) as instrument, round(close * f + 1e-9, 6) as close, round(low * f + 1e-9, 6) as low, volume * 100 as volume, round(money * 1000, 2) as money, pe, cast(null as double) as pb from b left join reg r on r.instrument = b.instrument where seen > 0 and (r.delist_date is null or b.datetime <= r.delist_date)""")
 def panel_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = vendor_files(spark, sf_dir)
-    gone = registry(spark, sf_dir).withColumn("instrument", F.concat(F.lit("SH6000"), F.substring("instrument", 2, 2)))
+    # Files and registry come from the same bars, which are written once: they are far smaller than the rows they come from.
+    bars = kept_table(v.bars(spark, sf_dir), new_path(spark, "vendor-bars"))
+    root = vendor_files(spark, bars)
+    gone = registry(spark, sf_dir, bars).withColumn("instrument", F.concat(F.lit("SH6000"), F.substring("instrument", 2, 2)))
     out = ingest.build_panel(vendor.read_bars(spark, root), vendor.read_factors(spark, root), vendor.read_basics(spark, root), gone, ("pe", "pb"))
     return out.select("datetime", "instrument", off_ties(F.col("close")).alias("close"), off_ties(F.col("low")).alias("low"), "volume", F.round("money", 2).alias("money"), "pe", "pb")
 

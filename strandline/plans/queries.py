@@ -165,9 +165,9 @@ def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = "+ reg as (select instrument, date '1999-06-28' + 28 * cast(substr(instrument, 2) as int) as delist_date from (select distinct instrument from bars) where cast(substr(instrument, 2) as int) % 7 = 0)"
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def registry(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     number = F.substring("instrument", 2, 2).cast("int")
-    return v.bars(spark, sf_dir).select("instrument").distinct().where(number % 7 == 0).select("instrument", F.date_add(F.to_date(F.lit("1999-06-28")), 28 * number).alias("delist_date"))
+    return (v.bars(spark, sf_dir) if bars is None else bars).select("instrument").distinct().where(number % 7 == 0).select("instrument", F.date_add(F.to_date(F.lit("1999-06-28")), 28 * number).alias("delist_date"))
 
 
 @query("post_delist_mask", REGISTRY + " select d.datetime, d.instrument, round(case when r.delist_date is null or d.datetime <= r.delist_date then d.close end + 1e-9, 6) as close from dense d left join reg r on r.instrument = d.instrument")

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from strandline.functions import factors as f
 from strandline.operators import analysis, arms, compare, daily, ingest, portfolio, pretrade, selection, stamps
+from strandline.plans import catalog
 
 D0 = datetime.date(2024, 1, 1)
 
@@ -245,3 +247,22 @@ def test_value_of_a_unit(spark):
     got = portfolio.nav(r, r.where("ret > 0.5")).orderBy("datetime").collect()
     assert [round(x.nav, 6) for x in got] == [1.1, 0.55, 1.1] and [round(x.drawdown, 6) for x in got] == [0, -0.5, 0] and [x.bench_nav for x in got] == [1, 1, 2]
     assert portfolio.nav(r).where("bench_nav is not null").count() == 0
+
+
+@pytest.mark.parametrize("name", ["panel_from_files"])
+def test_large_tables_are_read_once(spark, monkeypatch, name):
+    """Of all that a query writes one table at most reads the rows, and the result reads none."""
+    sf_dir = "/root/testdata/sf0.001"
+    reads, write = {"lineitem": 0, "orders": 0}, DataFrameWriter.parquet
+
+    def large(df):
+        return [t for t in reads if any(f"/{t}.parquet" in x for x in df.inputFiles())]
+
+    def counted(self, path, *args, **kwargs):
+        for t in large(self._df):
+            reads[t] += 1
+        write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    out = catalog.all_queries()[name](spark, sf_dir)
+    assert large(out) == [] and reads["lineitem"] == 1 and reads["orders"] <= 1
