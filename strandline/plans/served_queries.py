@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.operators import served, statements
 from strandline.plans.registry import query
 from strandline.plans.statement_queries import ST, days, raw
+from strandline.sources.shared import kept_table, new_path
 
 SOURCES = ("income", "balance", "cash")
 FIELDS = {"income": ("revenue",), "balance": ("total_assets",), "cash": ("oper_cost",)}
@@ -24,10 +25,9 @@ served_late as (select w.source, w.code, a.datetime, (select max(r.period) from
 moves as (select b.source, b.code, b.datetime, b.period as base_period, l.period as shifted_period from served_base b join served_late l on l.source = b.source and l.code = b.code and l.datetime = b.datetime where b.period is distinct from l.period)"""
 
 
-def by_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """What is of record in each source."""
+def by_source(spark: SparkSession, sf_dir: str, known: DataFrame) -> dict[str, DataFrame]:
+    """What is of record in each source, by the calendar."""
     filings = raw(spark, sf_dir).withColumn("_k", F.substring("batch", -9, 9).cast("long") % 3)
-    known = days(spark, sf_dir)
     return {s: statements.of_record(statements.contract(filings.where(F.col("_k") == i).drop("_k"), known)) for i, s in enumerate(SOURCES)}
 
 
@@ -35,8 +35,16 @@ def together(records: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.withColumn("source", F.lit(s)) for s, r in records.items()])
 
 
-def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return days(spark, sf_dir).where("idx % 4 = 1").select("datetime")
+def kept_record(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What is of record in each source, and the calendar. Both are read many times and far smaller than what they come from, so they are written once."""
+    path = new_path(spark, "served")
+    known = kept_table(days(spark, sf_dir), f"{path}/days")
+    kept = kept_table(together(by_source(spark, sf_dir, known)), f"{path}/record")
+    return {s: kept.where(F.col("source") == s).drop("source") for s in SOURCES}, known
+
+
+def sampled(known: DataFrame) -> DataFrame:
+    return known.where("idx % 4 = 1").select("datetime")
 
 
 def periods_served(records: dict[str, DataFrame], samples: DataFrame) -> DataFrame:
@@ -49,7 +57,8 @@ def periods_served(records: dict[str, DataFrame], samples: DataFrame) -> DataFra
 
 @query("winner_moves", SRC + " select source, code, datetime, base_period, shifted_period from moves")
 def winner_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return served.winner_moves(together(by_source(spark, sf_dir)), days(spark, sf_dir), sampled(spark, sf_dir), 3)
+    records, known = kept_record(spark, sf_dir)
+    return served.winner_moves(together(records), known, sampled(known), 3)
 
 
 #: A builder that follows announcements; one that ignores them (the same panel twice); one that goes by the period alone and leaves rows out; one asked before anything is known.
@@ -65,8 +74,9 @@ v as (select builder, case when has_b then 0 else 1 end + case when has_l then 0
 select builder, count(*) as n_moves, cast(sum(k) as bigint) as n_violations, case when sum(k) > 0 then 'REFUSE' else 'OK' end as verdict from v group by builder
 union all select 'too early', 0, 0, 'INCONCLUSIVE'""")
 def shift_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, known, asked = by_source(spark, sf_dir), days(spark, sf_dir), sampled(spark, sf_dir)
-    moves = served.winner_moves(together(records), known, asked, 3)
+    records, known = kept_record(spark, sf_dir)
+    asked = sampled(known)
+    moves = kept_table(served.winner_moves(together(records), known, asked, 3), new_path(spark, "moves"))
     base = periods_served(records, asked)
     later = periods_served({s: served.delayed(r, known, 3) for s, r in records.items()}, asked)
     by_period = periods_served({s: r.withColumn("available_from", F.col("period")) for s, r in records.items()}, asked).where("code % 5 <> 0")
@@ -89,8 +99,8 @@ w as (select i.datetime, i.code, i.revenue, i.available_from as income_available
 
 
 def panel_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = by_source(spark, sf_dir)
-    return served.fundamental_panel(records, FIELDS, days(spark, sf_dir), together(records).select("code"), prior=True)
+    records, known = kept_record(spark, sf_dir)
+    return served.fundamental_panel(records, FIELDS, known, together(records).select("code"), prior=True)
 
 
 @query("fundamental_panel", PANEL + " select * from w")
