@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.operators import compare, portfolio, signal
+from strandline.operators import compare, panel, portfolio, signal
 from strandline.plans import testviews as v
 from strandline.plans.registry import off_ties, query
 from strandline.plans.signal_queries import rounded
+from strandline.sources.shared import kept_table, new_path
 
 POS = """+ ind as (select concat('I', lpad(cast(s_suppkey % 40 as varchar), 2, '0')) as instrument, min(r_name) as grp from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey group by 1),
 pos as (select t.datetime, t.instrument, i.grp, case when cast(substr(t.instrument, 2) as int) % 2 = 0 then 0.05::double else 0.1::double end as weight from (select * from (select *, row_number() over (partition by datetime order by score desc, instrument) as rank from predictions) where rank <= 10) t join ind i on i.instrument = t.instrument)"""
@@ -101,13 +102,15 @@ rb as (select p.datetime, avg(m.ret) / 100 as ret from (select * from (select *,
 DIFF = RUNS + ", df as (select a.datetime, row_number() over (order by a.datetime) - 1 as idx, a.ret - b.ret as x from ra a join rb b on b.datetime = a.datetime where a.ret is not null and b.ret is not null)"
 
 
-def run_returns(spark: SparkSession, sf_dir: str, sign: int) -> DataFrame:
-    scores = v.predictions(spark, sf_dir).withColumn("score", sign * F.col("score"))
-    return signal.equal_weight_returns(scores, v.dense(spark, sf_dir), 5).select("datetime", (F.col("ret") / 100).alias("ret"))
+def run_returns(spark: SparkSession, sf_dir: str, sign: int, bars: DataFrame | None = None) -> DataFrame:
+    bars = v.bars(spark, sf_dir) if bars is None else bars
+    scores = v.scored(bars).withColumn("score", sign * F.col("score"))
+    return signal.equal_weight_returns(scores, panel.densify(bars, panel.calendar(bars)), 5).select("datetime", (F.col("ret") / 100).alias("ret"))
 
 
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.paired(run_returns(spark, sf_dir, 1), run_returns(spark, sf_dir, -1))
+    bars = kept_table(v.bars(spark, sf_dir), new_path(spark, "difference"))
+    return compare.paired(run_returns(spark, sf_dir, 1, bars), run_returns(spark, sf_dir, -1, bars))
 
 
 @query("monthly_returns", "+" + RUNS + BENCH + """, a as (select cast(date_trunc('month', datetime) as date) as month, product(1 + ret) - 1 as ret from ra where ret is not null group by 1), b as (select cast(date_trunc('month', datetime) as date) as month, product(1 + ret) - 1 as bench from bench where ret is not null group by 1)

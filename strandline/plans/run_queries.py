@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import codes
-from strandline.operators import compare, portfolio, signal, statements
+from strandline.operators import compare, panel, portfolio, signal, statements
 from strandline.plans import testviews as v
 from strandline.plans.portfolio_queries import LIMITS, POS, RUNS, positions, run_returns
 from strandline.plans.registry import query
 from strandline.plans.served_queries import SOURCES
 from strandline.plans.signal_queries import rounded
 from strandline.plans.statement_queries import ST, days, raw
+from strandline.sources.shared import kept_table, new_path
 
 #: Runs of the five best and the five worst scores, a day in nine of the second missing, with rank coefficients and quarters' first weeks as seams.
 ARMS = "+" + RUNS + """, rk as (select p.datetime, rank() over (partition by p.datetime order by p.score) + (count(*) over (partition by p.datetime, p.score) - 1) / 2.0 as x, rank() over (partition by p.datetime order by m.ret) + (count(*) over (partition by p.datetime, m.ret) - 1) / 2.0 as y from predictions p join rets m on m.datetime = p.datetime and m.instrument = p.instrument where m.ret is not null),
@@ -45,12 +46,15 @@ select n_a, n_b, n_shared, round(n_shared / least(n_a, n_b), 6) as overlap, bloc
 
 @query("compared_runs", COMPARED)
 def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = v.dense(spark, sf_dir).select("datetime", "instrument", signal.forward_return(F.col("close"), 1).alias("ret"))
-    daily = signal.daily_ic(moved.join(v.predictions(spark, sf_dir), ["datetime", "instrument"]), "datetime").select("datetime", "ic")
+    # Both runs and their coefficients come from the same bars, which are written once: they are far smaller than the rows they come from.
+    path = new_path(spark, "runs")
+    bars = kept_table(v.bars(spark, sf_dir), f"{path}/bars")
+    moved = panel.densify(bars, panel.calendar(bars)).select("datetime", "instrument", signal.forward_return(F.col("close"), 1).alias("ret"))
+    daily = kept_table(signal.daily_ic(moved.join(v.scored(bars), ["datetime", "instrument"]), "datetime").select("datetime", "ic"), f"{path}/daily")
     seam = (F.dayofmonth("datetime") <= 7) & (F.month("datetime") % 3 == 1)
 
     def run(sign: int, times: int) -> DataFrame:
-        r = run_returns(spark, sf_dir, sign).where("ret is not null").join(daily, "datetime", "left")
+        r = run_returns(spark, sf_dir, sign, bars).where("ret is not null").join(daily, "datetime", "left")
         return r.select("datetime", F.col("ret").alias("excess"), (F.col("ret") * times).alias("gross"), (F.col("ic") * sign).alias("ic"), seam.alias("boundary"))
 
     out = compare.compared_runs(run(1, 2), run(-1, 3).where("dayofmonth(datetime) % 9 <> 4"), 1000, 7)

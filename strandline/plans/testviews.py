@@ -30,14 +30,19 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored(bars: DataFrame) -> DataFrame:
+    """A score for each bar."""
+    score = F.conv(F.substring(F.md5(F.concat("instrument", F.lit(":"), F.col("datetime").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return bars.select("datetime", "instrument", score.alias("score"))
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return panel.densify(b, panel.calendar(b))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.conv(F.substring(F.md5(F.concat("instrument", F.lit(":"), F.col("datetime").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return bars(spark, sf_dir).select("datetime", "instrument", score.alias("score"))
+    return scored(bars(spark, sf_dir))
 
 
 #: A panel whose names grow with the data: every supplier is one.

@@ -249,7 +249,7 @@ def test_value_of_a_unit(spark):
     assert portfolio.nav(r).where("bench_nav is not null").count() == 0
 
 
-@pytest.mark.parametrize("name", ["panel_from_files", "shift_verdict"])
+@pytest.mark.parametrize("name", ["panel_from_files", "shift_verdict", "compared_runs"])
 def test_large_tables_are_read_once(spark, monkeypatch, name):
     """Of all that a query writes one table at most reads the rows, and the result reads none."""
     sf_dir = "/root/testdata/sf0.001"
